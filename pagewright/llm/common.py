@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +130,42 @@ class PolyHash:
         return (self.prefix[start + n] - self.prefix[start]) * self.inverse[start]
 
 
-def local_rows(df: DataFrame, columns: list[str]) -> list[tuple]:
-    """Rows of a frame whose size the caller has bounded."""
-    return [tuple(r) for r in df.select(*columns).collect()]
+def in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit set."""
+    at = values.view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def merged_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with a bit for each 64-bit value of the only column (bigint, or binary: packed values).
+
+    ``bits`` is a power of two. Executors merge partial bitmaps; one bitmap of that fixed size comes back,
+    whatever the number of rows. A value may share a bit, so a hit is a maybe and a miss is certain.
+    """
+    packed = rows.schema[0].dataType.typeName() == "binary"
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits, bool)
+        some = False
+        for batch in batches:
+            some = True
+            column = batch.column(0)
+            parts = (np.frombuffer(x.as_buffer(), np.uint64) for x in column) if packed else [column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)]
+            for values in parts:
+                out[(values & np.uint64(bits - 1)).astype(np.int64)] = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            for x in batch.column(0):
+                out |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+
+    partial = rows.mapInArrow(fill, "bits binary")
+    whole = partial.coalesce(8).mapInArrow(merge, "bits binary").repartition(1).mapInArrow(merge, "bits binary").collect()
+    out = np.zeros(bits >> 3, np.uint8)
+    for (part,) in whole:
+        out |= np.frombuffer(part, np.uint8)
+    return out

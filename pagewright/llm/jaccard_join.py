@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, plain_words, stash, unstash
+from .common import in_bitmap, merged_bitmap, mix64, plain_words, stash, unstash
 from .components import connected_components
 
 SHINGLE = 5
@@ -90,11 +90,6 @@ def needed(n: int) -> int:
     return n - -(-n * SHARE // OF) + 1
 
 
-def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = tokens & np.uint64(CLASS_BITS - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def combination_prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Index entries of a sorted set, given which of its tokens are of the frequent class."""
     need = needed(len(tokens))
@@ -202,28 +197,6 @@ def _groups(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "list_id bigint, ids binary")
 
 
-def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the packed 64-bit values in column ``ids``: merged by executors, one of fixed size comes back."""
-
-    def merge(parts: Iterator[pd.DataFrame], packed: bool) -> Iterator[pd.DataFrame]:
-        out = np.zeros(bits >> 3, np.uint8)
-        any_ = False
-        for pdf in parts:
-            for raw in pdf.iloc[:, -1]:
-                any_ = True
-                if packed:
-                    at = np.frombuffer(raw, np.uint64) & np.uint64(bits - 1)
-                    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                else:
-                    out |= np.frombuffer(raw, np.uint8)
-        if any_:
-            yield pd.DataFrame({"bits": [out.tobytes()]})
-
-    partial = rows.select("ids").coalesce(16).mapInPandas(lambda it: merge(it, True), "bits binary")
-    whole = partial.repartition(1).mapInPandas(lambda it: merge(it, False), "bits binary").collect()
-    return np.frombuffer(whole[0][0], np.uint8).copy() if whole else np.zeros(bits >> 3, np.uint8)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -295,10 +268,10 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
             values, counts = np.unique(key, return_counts=True)
             yield _by_bucket(values, buckets, counts.astype(np.uint32))
 
-    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(_frequent(texts.mapInArrow(counted, _PACKED)), CLASS_BITS))
+    bitmap = texts.sparkSession.sparkContext.broadcast(merged_bitmap(_frequent(texts.mapInArrow(counted, _PACKED)), CLASS_BITS))
 
     def indexed(batches):
-        for key, who in _chunks((k, combination_prefix(t, is_frequent(t, bitmap.value))) for k, t in _distinct_sets(batches) if len(t) > 3):
+        for key, who in _chunks((k, combination_prefix(t, in_bitmap(t, bitmap.value))) for k, t in _distinct_sets(batches) if len(t) > 3):
             yield _by_bucket(key, buckets, who)
 
     found = stash(_groups(texts.mapInArrow(indexed, _PACKED)), "groups")
@@ -309,14 +282,13 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
         unstash(pairs, found)
         return None
     bits = 1 << min(27, max(20, (16 * n_pairs).bit_length()))
-    candidates = texts.sparkSession.sparkContext.broadcast(_bitmap(lists, bits))
+    candidates = texts.sparkSession.sparkContext.broadcast(merged_bitmap(lists, bits))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits - 1
         ids, sets, size = [], [], 0
         for k, tokens in _distinct_sets(batches):
-            at = (k & ((1 << 64) - 1)) & mask
-            if candidates.value[at >> 3] >> (at & 7) & 1:
+            if candidates.value[(k & mask) >> 3] >> (k & 7) & 1:
                 ids.append(k)
                 sets.append(tokens.tobytes())
                 size += len(sets[-1])
