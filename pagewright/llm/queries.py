@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, quality_rules, suffix_dedup
+from . import bpe, chat, decontaminate, jaccard_join, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
@@ -45,5 +49,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
