@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, lang_crf, quality_crf, quality_rules, suffix_dedup
+from . import bpe, chat, decontaminate, html_extract, jaccard_join, lang_crf, quality_crf, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -55,9 +55,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.identify(docs, *lang_crf.train(docs))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"), html_extract.trained())
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_quality_classifier, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op8_language_id, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_quality_classifier, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op8_language_id, op9_html_extract, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
