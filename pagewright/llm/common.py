@@ -169,3 +169,34 @@ def merged_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     for (part,) in whole:
         out |= np.frombuffer(part, np.uint8)
     return out
+
+
+def only(bitmap, wanted: bool):
+    """A batch filter: keeps the rows whose first column (bigint) is, or is not, in a broadcast bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bitmap.value) == wanted))
+
+    return run
+
+
+def maybe_in(keys: DataFrame):
+    """A broadcast bitmap of a bigint column, of at most 16 MB; it tells most rows apart without a shuffle."""
+    bits = 1 << min(27, max(16, (16 * keys.count()).bit_length()))
+    return keys.sparkSession.sparkContext.broadcast(merged_bitmap(keys, bits))
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All columns after ``_key``, a 64-bit hash of id and text: repeated rows share it."""
+    return docs.select(F.xxhash64(id_col, text_col).alias("_key"), *(F.col(c) for c in docs.columns))
+
+
+def without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (see ``with_key``) whose ``_key`` is not in ``keys``.
+
+    Only rows that the bitmap cannot clear are shuffled, so texts that stay travel nowhere.
+    """
+    maybe = maybe_in(keys)
+    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(keys, "_key", "left_anti")
+    return keyed.mapInArrow(only(maybe, False), keyed.schema).unionByName(near)

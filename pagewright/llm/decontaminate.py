@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, with_key, without
 
 WINDOW = 13
 #: A document is contaminated if its hit words are at least one in so many.
@@ -317,3 +317,10 @@ def matches(index: DataFrame, items: DataFrame, *, slop: int = 0, item_col: str
     if out is None:
         return index.sparkSession.createDataFrame([], f"doc_id {element}, item_id string, begin bigint, `end` bigint, kind string")
     return out.distinct()
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns but those of contaminated documents; cases as in ``contamination``."""
+    keyed = with_key(docs, id_col, text_col)
+    found = contamination(keyed, items, id_col="_key", text_col=text_col).filter("contaminated").select("_key").distinct()
+    return without(keyed, found).drop("_key")

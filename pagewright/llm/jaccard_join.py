@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, merged_bitmap, mix64, plain_words, stash, unstash
+from .common import in_bitmap, maybe_in, merged_bitmap, mix64, only, plain_words, stash, unstash, with_key, without
 from .components import connected_components
 
 SHINGLE = 5
@@ -320,6 +320,17 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
     return roots
 
 
+def _classes(own: DataFrame, texts: DataFrame, first: str) -> DataFrame:
+    """``set_id``, ``root`` (names the component) and ``least`` (the component's least value of ``first``) of each distinct set."""
+    n_tokens = own.agg(F.sum("n_shingles")).first()[0] or 0
+    classes = own.filter("set_id is not null").groupBy("set_id").agg(F.min(F.col(first)).alias("_first"))
+    roots = _links(texts, n_tokens)
+    if roots is None:
+        return classes.select("set_id", F.col("set_id").alias("root"), F.col("_first").alias("least"))
+    rooted = classes.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("_first").alias("least")), "root").select("set_id", "root", "least")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (the least id that links reach) per input row.
 
@@ -329,15 +340,23 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Classes are told apart by 64-bit hashes.
     """
     own = stash(document_sets(docs, id_col=id_col, text_col=text_col), "sets")
-    n_tokens = own.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = own.filter("set_id is not null").groupBy("set_id").agg(F.min(F.col(id_col)).alias("_first"))
-    roots = _links(docs.select(F.col(text_col)), n_tokens)
-    if roots is None:
-        named = classes.select("set_id", F.col("_first").alias("_component"))
-    else:
-        # Only classes with links meet the root table; the rest keep their own least id.
-        rooted = classes.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        least = rooted.groupBy("root").agg(F.min("_first").alias("_component"))
-        named = rooted.join(least, "root").select("set_id", "_component")
-    joined = own.join(named, "set_id", "left")
-    return joined.select(F.col(id_col), "n_shingles", F.coalesce("_component", F.col(id_col)).alias("component_id"))
+    named = _classes(own, docs.select(F.col(text_col)), id_col).select("set_id", F.col("least").alias("_least"))
+    return own.join(named, "set_id", "left").select(F.col(id_col), "n_shingles", F.coalesce("_least", F.col(id_col)).alias("component_id"))
+
+
+def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each component: the one with the least id (of several texts with that id, the one with the least hash).
+
+    Rows without words stay all; cases otherwise as in ``jaccard_components``. Texts that stay are not shuffled.
+    """
+    keyed = with_key(docs, id_col, text_col)
+    own = stash(document_sets(keyed, id_col="_key", text_col=text_col).join(keyed.select("_key", F.col(id_col).alias("_id")).distinct(), "_key"), "sets")
+    classes = _classes(own, docs.select(F.col(text_col)), "_key")
+    placed = stash(own.join(classes.select("set_id", "root"), "set_id").select("_key", "_id", "root"), "placed")
+    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_key")).alias("best"), F.count("*").alias("n")).select(F.col("best")["_key"].alias("_key"), "n")
+    dropped = placed.select("_key").distinct().join(stays, "_key", "left_anti")
+    again = placed.groupBy("_key").count().filter("count > 1").select("_key").join(stays, "_key", "left_semi")
+    gone = stash(dropped.unionByName(again), "dropped")
+    twice = stash(again, "repeated")
+    some = keyed.mapInArrow(only(maybe_in(twice), True), keyed.schema).join(twice, "_key", "left_semi").dropDuplicates(["_key"])
+    return without(keyed, gone).unionByName(some).drop("_key")

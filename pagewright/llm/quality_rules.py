@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stash
+from .common import BLANKS, stash, with_key, without
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -119,3 +119,12 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     hosts = host_verdicts(rules).select(F.col("host").alias("_host"), "host_rate", "host_bad")
     joined = rules.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
     return joined.drop("_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_bad"))
+
+
+def drop_rejected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """All rows and columns but those of rejected documents; cases as in ``quality_rules``."""
+    keyed = with_key(docs, id_col, text_col)
+    # A text that appears under two hosts is judged by host, so the host is part of the key here.
+    keyed = keyed.withColumn("_key", F.xxhash64("_key", F.col(host_col)))
+    rejected = stash(quality_rules(keyed, id_col="_key", text_col=text_col, host_col=host_col).filter("not kept").select("_key").distinct(), "rejected")
+    return without(keyed, rejected).drop("_key")

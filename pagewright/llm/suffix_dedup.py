@@ -21,7 +21,7 @@ Texts without a repeated run are never shuffled: a bitmap of fixed size tells th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, in_bitmap, merged_bitmap, mix64, stash, unstash
+from .common import PolyHash, maybe_in, mix64, only, stash, unstash
 
 #: Bytes of a string that counts as repeated, and of its anchor.
 WINDOW, ANCHOR = 200, 64
@@ -287,22 +287,6 @@ def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "key", "doc", "at", "n", "rel", "bytes"])
 
 
-def _only(bitmap, wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keeps the rows whose ``_doc`` (the first column) is, or is not, in the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bitmap.value) == wanted))
-
-    return run
-
-
-def _maybe(rows: DataFrame):
-    """A broadcast bitmap of the ``doc`` column, of at most 16 MB."""
-    bits = 1 << min(27, max(16, (16 * rows.count()).bit_length()))
-    return rows.sparkSession.sparkContext.broadcast(merged_bitmap(rows.select("doc"), bits))
-
-
 def repeated_runs(keyed: DataFrame, text_col: str) -> DataFrame:
     """Stored rows ``doc``, ``body``: runs of repeated windows (start and number, packed) of the texts.
 
@@ -313,8 +297,8 @@ def repeated_runs(keyed: DataFrame, text_col: str) -> DataFrame:
     buckets = 1 << max(5, (n_bytes // 70 // BUCKET).bit_length())
     found = stash(texts.mapInArrow(lambda it: _cut(it, buckets), _RUNS).groupBy("bucket").applyInPandas(_sift, "doc bigint, kind int, body binary"), "runs")
     asked = found.filter("kind = 1").groupBy("doc").agg(F.collect_list("body").alias("bodies"))
-    maybe = _maybe(found.filter("kind = 1").select("doc").distinct())
-    near = texts.mapInArrow(_only(maybe, True), texts.schema)
+    maybe = maybe_in(found.filter("kind = 1").select("doc").distinct())
+    near = texts.mapInArrow(only(maybe, True), texts.schema)
     fetched = near.join(asked, F.col("_doc") == F.col("doc")).select("doc", text_col, "bodies").mapInArrow(lambda it: _fetch(it, 4 * buckets), "bucket int, key bigint, doc bigint, at bigint, n int, rel int, bytes binary")
     ends = fetched.groupBy("bucket").applyInPandas(_sort_bucket, "doc bigint, body binary")
     out = stash(found.filter("kind = 0").select("doc", "body").unionByName(ends), "repeats")
@@ -345,10 +329,10 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, columns: list[str], ma
     """``make(rest of the batch, texts, intervals per row)`` over all rows, those with repeats joined with them."""
     keyed = docs.select(F.xxhash64(id_col, text_col).alias("_doc"), F.col(text_col).alias("_text"), *columns)
     repeats = repeated_runs(keyed, "_text")
-    maybe = _maybe(repeats.select("doc").distinct())
+    maybe = maybe_in(repeats.select("doc").distinct())
 
     def plain(batches):
-        for batch in _only(maybe, False)(batches):
+        for batch in only(maybe, False)(batches):
             yield make(batch.select(columns), batch.column(1), [()] * batch.num_rows)
 
     def cut(batches):
@@ -357,7 +341,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, columns: list[str], ma
             yield make(batch.select(columns), batch.column(1), [removed_intervals(b.as_py()) if b.is_valid else () for b in batch.column(at)])
 
     bodies = repeats.groupBy("doc").agg(F.collect_list("body").alias("_bodies")).withColumnRenamed("doc", "_runs_of")
-    near = keyed.mapInArrow(_only(maybe, True), keyed.schema).join(bodies, F.col("_doc") == F.col("_runs_of"), "left").select("_doc", "_text", *columns, "_bodies")
+    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(bodies, F.col("_doc") == F.col("_runs_of"), "left").select("_doc", "_text", *columns, "_bodies")
     return keyed.mapInArrow(plain, schema).unionByName(near.mapInArrow(cut, schema))
 
 
