@@ -2,5 +2,400 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import taxonomy
+from ..functions.text import normalize_latex
+from ..operators import correction, decode, dedupe, export, guards, order, recognize, tables
+from ..schema import AnalysisOptions
+from ..sources import derived
+from ..sources.derived import DET_KEY, PAGE_HEIGHT, PAGE_WIDTH, view
+from . import analyze as plan
+from . import oracles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
+_PAGE = {"page": ["page_id"], "position": DET_KEY}
+
+
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _size() -> dict:
+    return {"width": G.d(PAGE_WIDTH), "height": G.d(PAGE_HEIGHT)}
+
+
+def _heron(spark: SparkSession) -> DataFrame:
+    return taxonomy.vocabulary(spark, taxonomy.VOCABULARIES["heron"])
+
+
+def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets = derived.detections(spark, sf_dir)
+    return taxonomy.with_types(dets.filter(~F.isnan("score") & (F.col("score") >= F.lit(0.5).cast("float"))), _heron(spark))
+
+
+def _kept(spark: SparkSession, sf_dir: str, options: AnalysisOptions | None = None) -> DataFrame:
+    return plan.kept_pages(derived.detections(spark, sf_dir), _heron(spark), options or AnalysisOptions(), **_PAGE, **_size())
+
+
+def _flat(pages: DataFrame, *extra: str) -> DataFrame:
+    rows = pages.select("page_id", *extra, F.posexplode("dets").alias("rank", "_d"))
+    return rows.select("page_id", *extra, "rank", *(F.col(f"_d.pos.{c}").alias(c) for c in DET_KEY), *(F.col(f"_d.{c}").alias(c) for c in ("class_id", "raw_name", "type", "score", "order_hint", "x1", "y1", "x2", "y2")))
+
+
+@query
+def dets_filtered(spark, sf_dir):
+    return _strong(spark, sf_dir).select("page_id", *DET_KEY, "class_id", "raw_name", "type", "score", "order_hint", "x1", "y1", "x2", "y2")
+
+
+@query
+def type_counts(spark, sf_dir):
+    """Kept blocks by type (no clean-up), most frequent first."""
+    strong = dedupe.page_arrays(_strong(spark, sf_dir), ["page_id"], DET_KEY, ["type"])
+    kept = strong.select(F.explode(dedupe.deduplicated(F.col("dets"), 0.6)).alias("d"))
+    return kept.groupBy(F.col("d.type").alias("type")).agg(F.count("*").alias("n_blocks")).orderBy(F.desc("n_blocks"), "type")
+
+
+@query
+def box_geometry(spark, sf_dir):
+    b = G.Box.named()
+    return derived.detections(spark, sf_dir).select("page_id", *DET_KEY, b.width.alias("width"), b.height.alias("height"), b.area.alias("area"), b.center_x.alias("center_x"), b.center_y.alias("center_y"), b.is_empty.alias("is_empty"))
+
+
+@query
+def pixel_rect(spark, sf_dir):
+    """Boxes on a page of half the size, so that half pixels occur."""
+    half = G.Box(*(F.col(c) / G.d(2) for c in ("x1", "y1", "x2", "y2")))
+    rect = half.pixel_rect(F.lit(380), F.lit(498))
+    return derived.detections(spark, sf_dir).select("page_id", *DET_KEY, *(c.alias(n) for c, n in zip(rect, ("px", "py", "pw", "ph"), strict=True)))
+
+
+@query
+def box_iou_pairs(spark, sf_dir):
+    pairs = dedupe.overlapping_pairs(_strong(spark, sf_dir), ["page_id"], DET_KEY)
+    return pairs.filter(F.col("iou") > dedupe.as_float(0.6)).select("page_id", *(f"{k}_{s}" for s in "ab" for k in DET_KEY), "shared", F.round("iou", 9).alias("iou"))
+
+
+@query
+def containment_pairs(spark, sf_dir):
+    pairs = dedupe.overlapping_pairs(_strong(spark, sf_dir), ["page_id"], DET_KEY, ["type"])
+    inside = (F.col("type_a") == F.col("type_b")) & (F.col("area_b") > 0) & (F.col("shared") / F.col("area_b") >= F.lit(dedupe.CONTAINED))
+    return pairs.filter(inside).select("page_id", *(f"{k}_{s}" for s in "ab" for k in DET_KEY), F.col("type_a").alias("type"))
+
+
+@query
+def dedupe_blocks(spark, sf_dir):
+    strong = dedupe.page_arrays(_strong(spark, sf_dir), ["page_id"], DET_KEY, ["class_id", "raw_name", "type", "order_hint"])
+    return _flat(strong.withColumn("dets", dedupe.deduplicated(F.col("dets"), 0.6))).select("page_id", *DET_KEY, "rank", "type", "score")
+
+
+@query
+def dedupe_cleanup(spark, sf_dir):
+    return _flat(_kept(spark, sf_dir, AnalysisOptions(min_figure_area_fraction=0.005))).select("page_id", *DET_KEY, "rank", "type", "score")
+
+
+@query
+def order_choice(spark, sf_dir):
+    return _kept(spark, sf_dir).select("page_id", order.order_strategy(F.col("dets")).alias("strategy"), F.size("dets").alias("n_blocks"))
+
+
+@query
+def model_order(spark, sf_dir):
+    """Pages whose blocks all have hints, ordered by band and hint by a window."""
+    pages = _kept(spark, sf_dir).filter(order.order_strategy(F.col("dets")) == "model")
+    return order.ranked_by_hint(_flat(pages), ["page_id"], ["rank"]).select("page_id", *DET_KEY, "type", "order_hint", "reading_order")
+
+
+@query
+def furniture_pin(spark, sf_dir):
+    """First and last place of each band of furniture in the final order."""
+    blocks = plan.analyze(derived.detections(spark, sf_dir), _heron(spark), **_PAGE, **_size())
+    return blocks.withColumn("band", order.band_of(F.col("type"))).groupBy("page_id", "band").agg(F.min("reading_order").alias("first"), F.max("reading_order").alias("last"), F.count("*").alias("n"))
+
+
+@query
+def xycut_splits(spark, sf_dir):
+    """Cuts of each page's kept blocks along the vertical axis."""
+    rows = order.axis_cuts(_flat(_kept(spark, sf_dir)), ["page_id"], ["rank"], "y1", "y2", 5.0)
+    return rows.select("page_id", *DET_KEY, "gap", "is_cut", F.col("segment").cast("int").alias("segment"))
+
+
+@query
+def xycut_order(spark, sf_dir):
+    """XY-cut of whole pages, furniture not pinned."""
+    blocks = plan.analyze(derived.detections(spark, sf_dir), _heron(spark), AnalysisOptions(reading_order_source="xycut", pin_page_furniture=False), **_PAGE, **_size())
+    return blocks.select("page_id", *DET_KEY, "reading_order")
+
+
+@query
+def analyze_blocks(spark, sf_dir):
+    return plan.analyze(derived.detections(spark, sf_dir), _heron(spark), **_PAGE, **_size())
+
+
+@query
+def type_map_builtin(spark, sf_dir):
+    labels = [(m, x) for m, xs in taxonomy.VOCABULARIES.items() for x in xs] + [("none", x) for x in ("Title", "stamp", "table_title", "chart_title", "nothing", "")]
+    frame = spark.createDataFrame(labels, "model string, label string")
+    kind = taxonomy.type_of(F.col("label"))
+    view(spark, sf_dir, "documents")
+    n = spark.table("documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return frame.select("model", "label", kind.alias("type"), taxonomy.is_text_bearing(kind).alias("text_bearing"), taxonomy.is_furniture(kind).alias("furniture")).join(n.filter("lang = 'en'"), F.lit(True))
+
+
+@query
+def type_map_custom(spark, sf_dir):
+    frame = spark.createDataFrame([(x,) for x in oracles.CUSTOM_LABELS], "label string")
+    view(spark, sf_dir, "documents")
+    langs = spark.table("documents").select("lang").distinct()
+    typed = frame.select("label", taxonomy.custom_type_of(F.col("label")).alias("type"), taxonomy.custom_type_of(F.col("label"), oracles.CUSTOM_MAP).alias("mapped_type"))
+    return langs.join(F.broadcast(typed), F.lit(True)).select("lang", "label", "type", "mapped_type")
+
+
+def _raw_rows(spark, sf_dir, values: str, scale: float) -> DataFrame:
+    """Detector rows packed per page, in key order, with the page's size."""
+    dets = derived.detections(spark, sf_dir)
+    f = lambda c: c.cast("float")
+    columns = {
+        "paddle": [f(F.col("class_id")), F.col("score"), *(f(F.col(c) * scale) for c in ("x1", "y1", "x2", "y2")), f(F.col("order_hint"))],
+        "yolo": [*(f(F.col(c) * scale) for c in ("x1", "y1", "x2", "y2")), F.col("score"), f(F.col("class_id"))],
+    }[values]
+    packed = dets.groupBy("page_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*DET_KEY, F.array(*columns).alias("v")))), lambda x: x["v"])).alias("rows"))
+    return packed.join(derived.page_sizes(spark, sf_dir).select("page_id", "width", "height"), "page_id")
+
+
+def _boxes(frame: DataFrame, *first: str) -> DataFrame:
+    return frame.select(*first, "det_pos", "class_id", "score", "order_hint", *(F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query
+def decode_paddle(spark, sf_dir):
+    return _boxes(decode.decode_paddle(_raw_rows(spark, sf_dir, "paddle", 0.75), 0.5, 800, stride=7), "page_id")
+
+
+@query
+def decode_yolo(spark, sf_dir):
+    return _boxes(decode.decode_yolo(_raw_rows(spark, sf_dir, "yolo", 0.625), 0.5, 640), "page_id")
+
+
+@query
+def decode_detr(spark, sf_dir):
+    view(spark, sf_dir, "embeddings")
+    e = F.col("embedding")
+    logits = F.slice(e, 1, 51)
+    boxes = F.transform(F.slice(e, 52, 12), F.abs)
+    frame = spark.table("embeddings").select("vec_id", logits.alias("logits"), boxes.alias("boxes"), F.lit(762).alias("width"), F.lit(1000).alias("height"))
+    rows = decode.decode_detr(frame, 0.55, 17)
+    return rows.select("vec_id", "det_pos", "class_id", F.round(F.col("score").cast("double"), 4).alias("score"), *(F.round(c, 2).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query
+def letterbox(spark, sf_dir):
+    box = G.letterbox(F.col("width"), F.col("height"), 640)
+    return derived.page_sizes(spark, sf_dir).select("page_id", *((F.round(c, 9) if n == "scale" else c).alias(n) for n, c in box.items()))
+
+
+@query
+def orientation_decode(spark, sf_dir):
+    view(spark, sf_dir, "embeddings")
+    values = F.slice("embedding", 1, 4)
+    # Every third vector is given as exact probabilities.
+    given = F.when(F.col("vec_id") % 3 == 0, F.array(*(F.lit(x).cast("float") for x in (0.5, 0.25, 0.125, 0.125)))).otherwise(values)
+    p = decode.decode_orientation(given)
+    rows = spark.table("embeddings").select("vec_id", p.alias("p"))
+    gate = (F.col("p.rotation") != 0) & (F.col("p.confidence") >= F.lit(0.6).cast("float"))
+    return rows.select("vec_id", "p.rotation", *(F.round(F.col(f"p.{c}").cast("double"), 4).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
+
+
+def _corrected(spark, sf_dir) -> DataFrame:
+    pages = derived.page_sizes(spark, sf_dir)
+    # Every fifth page does not know its source size.
+    known = F.col("page_id") % 5 != 0
+    return pages.withColumn("source_w", F.when(known, F.col("width")).otherwise(0)).withColumn("source_h", F.when(known, F.col("height")).otherwise(0))
+
+
+def _page_columns() -> list:
+    return [F.col(c) for c in ("rotation", "skew", "source_w", "source_h", "width", "height")]
+
+
+@query
+def map_to_source_points(spark, sf_dir):
+    x, y = G.to_source(G.d(10), G.d(20), *_page_columns())
+    uw, uh = G.upright_size(F.col("width"), F.col("height"), F.col("rotation"))
+    return _corrected(spark, sf_dir).select("page_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), uw.alias("upright_w"), uh.alias("upright_h"), G.is_corrected(F.col("rotation"), F.col("skew")).alias("is_corrected"))
+
+
+@query
+def map_to_source_boxes(spark, sf_dir):
+    rows = derived.detections(spark, sf_dir).join(_corrected(spark, sf_dir), "page_id")
+    box = G.box_to_source(G.Box.named(), *_page_columns())
+    return rows.select("page_id", *DET_KEY, *(F.round(c, 5).alias(n) for c, n in zip((box.x1, box.y1, box.x2, box.y2), ("sx1", "sy1", "sx2", "sy2"), strict=True)))
+
+
+def _gray(spark, sf_dir) -> DataFrame:
+    """Pixels derived from events: an image per event type."""
+    view(spark, sf_dir, "events")
+    e = spark.table("events").select("event_type", F.col("event_id").alias("at"), F.pmod(F.floor(F.col("value") * 100), F.lit(256)).cast("int").alias("r"), F.pmod(F.col("user_id"), F.lit(256)).cast("int").alias("g"), F.pmod(F.col("event_id"), F.lit(256)).cast("int").alias("b"))
+    return e.withColumn("luma", G.luma(F.col("r"), F.col("g"), F.col("b")))
+
+
+@query
+def luma_histogram(spark, sf_dir):
+    return _gray(spark, sf_dir).groupBy("event_type", "luma").agg(F.count("*").alias("n"))
+
+
+@query
+def otsu_histogram(spark, sf_dir):
+    return correction.otsu(_gray(spark, sf_dir), ["event_type"], "luma")
+
+
+@query
+def projection_sharpness(spark, sf_dir):
+    rows = _gray(spark, sf_dir).filter("luma < 128").withColumn("bin", F.pmod(F.col("at"), F.lit(97)).cast("int"))
+    return correction.sharpness(rows, ["event_type"], "bin", 97)
+
+
+def _tables(spark, sf_dir) -> DataFrame:
+    cells = derived.table_cells(spark, sf_dir)
+    cell = F.struct(F.col("r").cast("int").alias("row"), F.col("c").cast("int").alias("column"), F.col("rowspan").cast("int").alias("row_span"), F.col("colspan").cast("int").alias("column_span"), "is_header", F.col("txt").alias("text"), F.struct(*((F.col("c") * 10 + k).cast("double").alias(n) for k, n in enumerate(("min_x", "min_y", "max_x", "max_y")))).alias("box"))
+    return cells.groupBy("ok").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select("ok", tables.build(F.col("cells")).alias("table"))
+
+
+@query
+def table_html(spark, sf_dir):
+    return _tables(spark, sf_dir).select("ok", tables.to_html(F.col("table")).alias("html"), tables.has_spans(F.col("table")).alias("has_spans"))
+
+
+@query
+def table_parse(spark, sf_dir):
+    """Cells read back from rendered HTML."""
+    back = tables.parse_tables(_tables(spark, sf_dir).select("ok", tables.to_html(F.col("table")).alias("html")), "html", "t")
+    return back.select("ok", "t.row_count", "t.column_count", F.explode("t.cells").alias("c")).select("ok", "row_count", "column_count", *(F.col(f"c.{n}").alias(n) for n in ("row", "column", "row_span", "column_span", "is_header", "text")))
+
+
+@query
+def table_grid(spark, sf_dir):
+    return tables.grid_cells(_tables(spark, sf_dir), ["ok"])
+
+
+@query
+def table_csv(spark, sf_dir):
+    return _tables(spark, sf_dir).select("ok", tables.to_csv(F.col("table")).alias("csv"), tables.to_csv(F.col("table"), "\t").alias("tsv"))
+
+
+@query
+def table_markdown(spark, sf_dir):
+    """Tables with merged cells as HTML, the others as pipes; every second table loses its first column."""
+    keep = F.transform(F.filter(F.col("table.cells"), lambda c: c["column"] > 0), lambda c: c.withField("column", c["column"] - 1))
+    narrow = _tables(spark, sf_dir).withColumn("table", F.when(F.col("ok") % 2 == 0, tables.build(keep)).otherwise(F.col("table")))
+    return narrow.select("ok", tables.to_markdown(F.col("table")).alias("markdown"))
+
+
+@query
+def table_offset(spark, sf_dir):
+    moved = _tables(spark, sf_dir).select("ok", F.explode(tables.offset(F.col("table"), F.col("ok").cast("double"), G.d(0.5))["cells"]).alias("c"))
+    return moved.select("ok", F.col("c.row").alias("row"), F.col("c.column").alias("column"), *(F.col(f"c.box.{n}").alias(n) for n in ("min_x", "min_y", "max_x", "max_y")))
+
+
+def _text_blocks(spark, sf_dir) -> DataFrame:
+    """Lines of documents as blocks: 25 a page, types in turn."""
+    view(spark, sf_dir, "documents")
+    lines = spark.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    label = F.element_at(F.array(*(F.lit(x) for x in taxonomy.VOCABULARIES["heron"])), F.col("at") % 17 + 1)
+    return lines.select("doc_id", (F.floor(F.col("at") / 25) + 1).cast("int").alias("page_number"), (F.col("at") % 25).alias("reading_order"), taxonomy.type_of(label).alias("type"), "text")
+
+
+@query
+def plain_text(spark, sf_dir):
+    return export.document_text(_text_blocks(spark, sf_dir), export.plain_payload(F.col("text")))
+
+
+@query
+def markdown(spark, sf_dir):
+    return export.document_markdown(_text_blocks(spark, sf_dir), export.block_markdown(F.col("type"), F.col("text")))
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """Four pages a document."""
+    blocks = analyze_blocks(spark, sf_dir).withColumn("doc", F.floor(F.col("page_id") / 4)).withColumn("page_number", (F.col("page_id") % 4 + 1).cast("int"))
+    pages = derived.page_sizes(spark, sf_dir).select(F.floor(F.col("page_id") / 4).alias("doc"), (F.col("page_id") % 4 + 1).cast("int").alias("page_number"), F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"), "rotation", F.col("skew").alias("skew_angle"), F.col("width").alias("source_width"), F.col("height").alias("source_height"))
+    return plan.documents(blocks, pages, "doc", "page_number")
+
+
+@query
+def doc_json(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc", export.document_json(F.col("pages"), pretty=False).alias("json"))
+
+
+@query
+def json_roundtrip(spark, sf_dir):
+    """Blocks read back from exported JSON."""
+    back = doc_json(spark, sf_dir).select("doc", F.explode(export.parse_document(F.col("json"))).alias("p"))
+    rows = back.select("doc", "p.page_number", "p.rotation", "p.skew_angle", F.explode("p.blocks").alias("b"))
+    return rows.select("doc", "page_number", "rotation", "skew_angle", "b.type", "b.confidence", "b.reading_order", "b.raw_class_id", "b.raw_class_name", *(F.col(f"b.box.{c}").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
+
+
+@query
+def latex_normalize(spark, sf_dir):
+    view(spark, sf_dir, "documents")
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    wrapped = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("$$ "), word, F.lit(" $$"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("  $"), word, F.lit("$ "))).when(F.col("doc_id") % 7 == 2, F.concat(F.lit("\\["), word, F.lit("\\]"))).when(F.col("doc_id") % 7 == 3, F.concat(F.lit("\\("), word, F.lit("\\)"))).when(F.col("doc_id") % 7 == 4, F.lit("$$")).when(F.col("doc_id") % 7 == 5, F.lit("$")).otherwise(word)
+    return spark.table("documents").select("doc_id", normalize_latex(wrapped).alias("latex"))
+
+
+@query
+def page_numbering(spark, sf_dir):
+    view(spark, sf_dir, "conversations")
+    return guards.number_pages(spark.table("conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"]).select("conv_id", "turn", "role", "page_number")
+
+
+@query
+def guard_pages(spark, sf_dir):
+    numbered = page_numbering(spark, sf_dir)
+    counted = guards.first_pages(numbered, ["conv_id"], 4).groupBy("conv_id").agg(F.count("*").alias("n_pages"))
+    return counted.withColumn("error", guards.too_many(F.col("n_pages"), 4))
+
+
+@query
+def guard_pixels(spark, sf_dir):
+    pages = derived.page_sizes(spark, sf_dir)
+    return pages.select("page_id", guards.too_large(F.col("width") * 1000, F.col("height") * 1000, 900_000_000_000).alias("error"))
+
+
+def _scripted(spark, sf_dir) -> DataFrame:
+    """Blocks recognized by scripted recognizers that see the crop's size."""
+    blocks = analyze_blocks(spark, sf_dir)
+    rect = G.Box.named().pixel_rect(F.lit(PAGE_WIDTH), F.lit(PAGE_HEIGHT))
+    crop = F.concat(rect[2].cast("string"), F.lit("x"), rect[3].cast("string"))
+    return recognize.recognize(
+        blocks,
+        crop,
+        rect,
+        text=recognize.text_recognizer(lambda s: " " + s + "\n"),
+        formula=recognize.formula_recognizer(lambda s: "$" + s + "$"),
+        table=recognize.html_table_recognizer(lambda s: "<table><tr><td>" + s + "</td><td colspan=2>b</td></tr></table>"),
+    )
+
+
+@query
+def recognize_text(spark, sf_dir):
+    rows = _scripted(spark, sf_dir)
+    return rows.select("page_id", *DET_KEY, "type", "text", "latex", F.col("table.column_count").alias("table_columns"))
+
+
+@query
+def recognize_routing(spark, sf_dir):
+    rows = _scripted(spark, sf_dir)
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.count("latex").alias("with_latex"), F.count("table").alias("with_table"))
+
+
+@query
+def page_skew(spark, sf_dir):
+    """Skew of synthetic pages, drawn with a known skew from the page id."""
+    ids = derived.page_sizes(spark, sf_dir).filter("page_id < 12").select("page_id", ((F.col("page_id") % 5 - 2) * 3).cast("double").alias("drawn"))
+    return correction.estimate_drawn(ids)
