@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose encoding a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Longer pieces are encoded again each time, so that memory stays bounded.
 LONGEST_REMEMBERED = 64
 NEVER = 1 << 60
@@ -64,13 +64,14 @@ class Vocabulary:
                 self.rank[whole], self.left[whole], self.right[whole] = rank, ids[a], ids[b]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.size = {i: len(b) for i, b in self.bytes.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
         self.matches = ahocorasick.Automaton()
         for b, i in ids.items():
             self.matches.add_word(b.decode("latin-1"), (len(b), i))
         self.matches.make_automaton()
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -86,59 +87,66 @@ class Vocabulary:
         that takes it in. A merge across the border happens if its two tokens still stand when its rank
         comes; among equal ranks the leftmost place goes first.
         """
-        known = self._compatible.get((a, b))
-        if known is not None:
-            return known
         left, right = [(a, NEVER)], [(b, NEVER)]
         while self.rank[left[-1][0]] >= 0:
             left.append((self.right[left[-1][0]], self.rank[left[-1][0]]))
         while self.rank[right[-1][0]] >= 0:
             right.append((self.left[right[-1][0]], self.rank[right[-1][0]]))
-        i, j, fits = len(left) - 1, len(right) - 1, True
+        i, j = len(left) - 1, len(right) - 1
         while True:
             (x, x_ends), (y, y_ends) = left[i], right[j]
             rank = self.joined.get((x, y), NEVER)
             if rank < x_ends and rank <= y_ends and rank < NEVER:
-                fits = False
-                break
+                return False
             if i == 0 and j == 0:
-                break
+                return True
             if x_ends <= y_ends:
                 i -= 1
                 j -= x_ends == y_ends
             else:
                 j -= 1
-        if len(self._compatible) >= REMEMBERED:
-            self._compatible.clear()
-        self._compatible[a, b] = fits
-        return fits
 
-    def prefixes(self, piece: bytes) -> tuple[list[int], list[int]]:
-        """The last token and the token count of every prefix of ``piece``; 0 and 0 for the empty one.
-
-        Prefixes that cut a token's every possible end cannot occur: each byte is a token itself.
-        """
-        n = len(piece)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
+    def prefixes(self, piece: bytes) -> list[int]:
+        """The last token of the encoding of every prefix of ``piece`` (-1 for the empty one)."""
+        last = [-1]
+        known = self._compatible
         done = 0
         for end, (length, token) in self.matches.iter(piece.decode("latin-1")):
-            end += 1
-            if end <= done:
+            if end < done:
                 continue
-            start = end - length
-            if start == 0 or self.compatible(last[start], token):
-                last[end], count[end], done = token, count[start] + 1, end
-        if done != n:
+            start = end + 1 - length
+            if start:
+                pair = last[start] << 20 | token
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= 4 * REMEMBERED:
+                        known.clear()
+                    fits = known[pair] = self.compatible(last[start], token)
+                if not fits:
+                    continue
+            last.append(token)
+            done = end + 1
+        if done != len(piece):
             raise ValueError("the vocabulary has no token for some byte")
-        return last, count
+        return last
+
+    def prefix_counts(self, piece: bytes) -> list[int]:
+        """The token count of every prefix of ``piece``, exact: one more than that of what stands before its last token."""
+        count = [0]
+        size = self.size
+        for end, token in enumerate(self.prefixes(piece)):
+            if end:
+                count.append(count[end - size[token]] + 1)
+        return count
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        last, _ = self.prefixes(piece)
+        last, size = self.prefixes(piece), self.size
         out, end = [], len(piece)
         while end:
             out.append(last[end])
-            end -= len(self.bytes[last[end]])
-        return out[::-1]
+            end -= size[last[end]]
+        out.reverse()
+        return out
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """The pieces that are encoded on their own; ids for special strings."""
@@ -241,7 +249,7 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = v = Vocabulary.load(path)
-        self.counts = Remembering(lambda p: 1 if isinstance(p, int) else v.prefixes(p.encode())[1][-1])
+        self.counts = Remembering(lambda p: 1 if isinstance(p, int) else v.prefix_counts(p.encode())[-1])
 
     @classmethod
     def load(cls, path: str) -> Counter:
