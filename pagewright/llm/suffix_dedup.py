@@ -35,7 +35,7 @@ from .common import PolyHash, maybe_in, mix64, only, stash, unstash
 WINDOW, ANCHOR = 200, 64
 _GRAMS = WINDOW - ANCHOR + 1
 #: Window starts that are looked at together; positions within fit ``_AT`` bits.
-STEP, _AT = 1 << 20, 24
+STEP, _AT = 1 << 19, 24
 #: Runs that a bucket should hold about.
 BUCKET = 1 << 21
 _REMOVAL = np.dtype([("at", "<u4"), ("n", "<u4")])
