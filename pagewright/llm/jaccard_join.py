@@ -45,7 +45,7 @@ FREQUENT = 64
 #: Bits of the bitmap of frequent tokens.
 CLASS_BITS = 1 << 23
 #: Postings that are packed at a time, and how many a bucket should hold about.
-CHUNK, BUCKET = 1 << 18, 1 << 21
+CHUNK, BUCKET = 1 << 17, 1 << 19
 _K = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 #: Sizes at which the levels begin.
 _LEVELS = [1]
@@ -54,23 +54,12 @@ while _LEVELS[-1] < 1 << 40:
 _LEVELS = np.array(_LEVELS, np.int64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _WordHash()
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct 5-word shingles; of the whole sequence if shorter; empty without words."""
     words = plain_words((text or "").encode())
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(ids) - SHINGLE + 1
     if n < 1:
         return mix64(np.array([(ids * _K[: len(ids)]).sum(dtype=np.uint64) + np.uint64(len(ids))]))
