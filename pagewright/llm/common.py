@@ -142,6 +142,8 @@ def merged_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     ``bits`` is a power of two. Executors merge partial bitmaps; one bitmap of that fixed size comes back,
     whatever the number of rows. A value may share a bit, so a hit is a maybe and a miss is certain.
     """
+    if len(rows.columns) != 1:
+        raise ValueError("a bitmap is made of one column")
     packed = rows.schema[0].dataType.typeName() == "binary"
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +190,15 @@ def maybe_in(keys: DataFrame):
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All columns after ``_key``, a 64-bit hash of id and text: repeated rows share it."""
-    return docs.select(F.xxhash64(id_col, text_col).alias("_key"), *(F.col(c) for c in docs.columns))
+    """All columns after ``_pw_key``, a 64-bit hash of id and text: repeated rows share it."""
+    return docs.select(F.xxhash64(id_col, text_col).alias("_pw_key"), *(F.col(c) for c in docs.columns))
 
 
 def without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (see ``with_key``) whose ``_key`` is not in ``keys``.
+    """The rows of ``keyed`` (see ``with_key``) whose ``_pw_key`` is not in ``keys``.
 
     Only rows that the bitmap cannot clear are shuffled, so texts that stay travel nowhere.
     """
     maybe = maybe_in(keys)
-    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(keys, "_key", "left_anti")
+    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(keys, "_pw_key", "left_anti")
     return keyed.mapInArrow(only(maybe, False), keyed.schema).unionByName(near)

@@ -322,5 +322,5 @@ def matches(index: DataFrame, items: DataFrame, *, slop: int = 0, item_col: str
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns but those of contaminated documents; cases as in ``contamination``."""
     keyed = with_key(docs, id_col, text_col)
-    found = contamination(keyed, items, id_col="_key", text_col=text_col).filter("contaminated").select("_key").distinct()
-    return without(keyed, found).drop("_key")
+    found = contamination(keyed, items, id_col="_pw_key", text_col=text_col).filter("contaminated").select("_pw_key").distinct()
+    return without(keyed, found).drop("_pw_key")

@@ -271,7 +271,7 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
         unstash(pairs, found)
         return None
     bits = 1 << min(27, max(20, (16 * n_pairs).bit_length()))
-    candidates = texts.sparkSession.sparkContext.broadcast(merged_bitmap(lists, bits))
+    candidates = texts.sparkSession.sparkContext.broadcast(merged_bitmap(lists.select("ids"), bits))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits - 1
@@ -339,13 +339,13 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Rows without words stay all; cases otherwise as in ``jaccard_components``. Texts that stay are not shuffled.
     """
     keyed = with_key(docs, id_col, text_col)
-    own = stash(document_sets(keyed, id_col="_key", text_col=text_col).join(keyed.select("_key", F.col(id_col).alias("_id")).distinct(), "_key"), "sets")
-    classes = _classes(own, docs.select(F.col(text_col)), "_key")
-    placed = stash(own.join(classes.select("set_id", "root"), "set_id").select("_key", "_id", "root"), "placed")
-    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_key")).alias("best"), F.count("*").alias("n")).select(F.col("best")["_key"].alias("_key"), "n")
-    dropped = placed.select("_key").distinct().join(stays, "_key", "left_anti")
-    again = placed.groupBy("_key").count().filter("count > 1").select("_key").join(stays, "_key", "left_semi")
+    own = stash(document_sets(keyed, id_col="_pw_key", text_col=text_col).join(keyed.select("_pw_key", F.col(id_col).alias("_id")).distinct(), "_pw_key"), "sets")
+    classes = _classes(own, docs.select(F.col(text_col)), "_pw_key")
+    placed = stash(own.join(classes.select("set_id", "root"), "set_id").select("_pw_key", "_id", "root"), "placed")
+    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_pw_key")).alias("best"), F.count("*").alias("n")).select(F.col("best")["_pw_key"].alias("_pw_key"), "n")
+    dropped = placed.select("_pw_key").distinct().join(stays, "_pw_key", "left_anti")
+    again = placed.groupBy("_pw_key").count().filter("count > 1").select("_pw_key").join(stays, "_pw_key", "left_semi")
     gone = stash(dropped.unionByName(again), "dropped")
     twice = stash(again, "repeated")
-    some = keyed.mapInArrow(only(maybe_in(twice), True), keyed.schema).join(twice, "_key", "left_semi").dropDuplicates(["_key"])
-    return without(keyed, gone).unionByName(some).drop("_key")
+    some = keyed.mapInArrow(only(maybe_in(twice), True), keyed.schema).join(twice, "_pw_key", "left_semi").dropDuplicates(["_pw_key"])
+    return without(keyed, gone).unionByName(some).drop("_pw_key")

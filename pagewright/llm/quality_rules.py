@@ -125,6 +125,6 @@ def drop_rejected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """All rows and columns but those of rejected documents; cases as in ``quality_rules``."""
     keyed = with_key(docs, id_col, text_col)
     # A text that appears under two hosts is judged by host, so the host is part of the key here.
-    keyed = keyed.withColumn("_key", F.xxhash64("_key", F.col(host_col)))
-    rejected = stash(quality_rules(keyed, id_col="_key", text_col=text_col, host_col=host_col).filter("not kept").select("_key").distinct(), "rejected")
-    return without(keyed, rejected).drop("_key")
+    keyed = keyed.withColumn("_pw_key", F.xxhash64("_pw_key", F.col(host_col)))
+    rejected = stash(quality_rules(keyed, id_col="_pw_key", text_col=text_col, host_col=host_col).filter("not kept").select("_pw_key").distinct(), "rejected")
+    return without(keyed, rejected).drop("_pw_key")

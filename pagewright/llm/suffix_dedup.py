@@ -290,16 +290,16 @@ def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 def repeated_runs(keyed: DataFrame, text_col: str) -> DataFrame:
     """Stored rows ``doc``, ``body``: runs of repeated windows (start and number, packed) of the texts.
 
-    ``keyed`` has ``_doc`` (a hash of id and text) and the text.
+    ``keyed`` has ``_pw_doc`` (a hash of id and text) and the text.
     """
-    texts = keyed.select("_doc", text_col)
+    texts = keyed.select("_pw_doc", text_col)
     n_bytes = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = 1 << max(5, (n_bytes // 70 // BUCKET).bit_length())
     found = stash(texts.mapInArrow(lambda it: _cut(it, buckets), _RUNS).groupBy("bucket").applyInPandas(_sift, "doc bigint, kind int, body binary"), "runs")
     asked = found.filter("kind = 1").groupBy("doc").agg(F.collect_list("body").alias("bodies"))
     maybe = maybe_in(found.filter("kind = 1").select("doc").distinct())
     near = texts.mapInArrow(only(maybe, True), texts.schema)
-    fetched = near.join(asked, F.col("_doc") == F.col("doc")).select("doc", text_col, "bodies").mapInArrow(lambda it: _fetch(it, 4 * buckets), "bucket int, key bigint, doc bigint, at bigint, n int, rel int, bytes binary")
+    fetched = near.join(asked, F.col("_pw_doc") == F.col("doc")).select("doc", text_col, "bodies").mapInArrow(lambda it: _fetch(it, 4 * buckets), "bucket int, key bigint, doc bigint, at bigint, n int, rel int, bytes binary")
     ends = fetched.groupBy("bucket").applyInPandas(_sort_bucket, "doc bigint, body binary")
     out = stash(found.filter("kind = 0").select("doc", "body").unionByName(ends), "repeats")
     unstash(found)
@@ -327,8 +327,8 @@ def _kept(data: bytes, intervals: list[tuple[int, int]]) -> bytes:
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, columns: list[str], make, schema) -> DataFrame:
     """``make(rest of the batch, texts, intervals per row)`` over all rows, those with repeats joined with them."""
-    keyed = docs.select(F.xxhash64(id_col, text_col).alias("_doc"), F.col(text_col).alias("_text"), *columns)
-    repeats = repeated_runs(keyed, "_text")
+    keyed = docs.select(F.xxhash64(id_col, text_col).alias("_pw_doc"), F.col(text_col).alias("_pw_text"), *columns)
+    repeats = repeated_runs(keyed, "_pw_text")
     maybe = maybe_in(repeats.select("doc").distinct())
 
     def plain(batches):
@@ -340,8 +340,8 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, columns: list[str], ma
             at = batch.num_columns - 1
             yield make(batch.select(columns), batch.column(1), [removed_intervals(b.as_py()) if b.is_valid else () for b in batch.column(at)])
 
-    bodies = repeats.groupBy("doc").agg(F.collect_list("body").alias("_bodies")).withColumnRenamed("doc", "_runs_of")
-    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(bodies, F.col("_doc") == F.col("_runs_of"), "left").select("_doc", "_text", *columns, "_bodies")
+    bodies = repeats.groupBy("doc").agg(F.collect_list("body").alias("_pw_bodies")).withColumnRenamed("doc", "_pw_runs_of")
+    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(bodies, F.col("_pw_doc") == F.col("_pw_runs_of"), "left").select("_pw_doc", "_pw_text", *columns, "_pw_bodies")
     return keyed.mapInArrow(plain, schema).unionByName(near.mapInArrow(cut, schema))
 
 
