@@ -228,6 +228,10 @@ class PrefixCounts:
         k = bisect_right(self.starts, p) - 1
         if self.starts[k] == p and not (k and self.pieces[k - 1].isspace()):
             return self.sums[k]
+        if self.fixed[k] and self.starts[k] < p:
+            # A cut special string is ordinary text, which blanks and marks before it may join.
+            for _ in range(3):
+                k -= k > 0 and not self.fixed[k - 1]
         while k > 0 and self.text[self.starts[k] : p].strip() == "" and not self.fixed[k - 1] and self.pieces[k - 1].isspace():
             k -= 1
         return self.sums[k] + sum(self.counter.counts[x] for x in self.counter.vocabulary.pieces(self.text[self.starts[k] : p]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, html_extract, jaccard_join, lang_crf, quality_crf, quality_rules, suffix_dedup
 from .common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_path() -> str:
@@ -64,4 +65,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_quality_classifier, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op8_language_id, op9_html_extract, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,349 @@
+"""Training-data operators against brute force, the tokenizer library, round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pagewright.llm import bpe, chat, decontaminate, html_extract, jaccard_join, lang_crf, quality_crf, quality_rules, queries, suffix_dedup
+from pagewright.llm.components import connected_components
+from pyspark.sql import functions as F
+
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def vocabulary(rng, n):
+    return ["".join(rng.choice("abcdeéñüfghil") for _ in range(rng.randint(1, 7))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Texts with copies, near copies, shared passages, repeated runs, nulls, blanks, repeated rows."""
+    rng = random.Random(3)
+    words = vocabulary(rng, 400)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, rows = text(60), []
+    for k in range(60):
+        rows.append([k, text(rng.randint(1, 160)), "en", f"src{k % 4}", 1])
+    base = text(120).split()
+    for k in range(60, 100):  # near copies of one text, some too far
+        own = base[:]
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append([k, " ".join(own), "en", "src0", 1])
+    for k in range(100, 120):
+        rows.append([k, f"{text(rng.randint(5, 60))} {passage} {text(rng.randint(0, 60))}", None, "src1", 1])
+    rows += [[120, None, None, None, None], [121, "", "en", "src2", 0], [122, " \n\t ", "en", "src2", 3], [123, "a", "en", None, 1], [124, "a b c", "en", "src3", 5], [125, "a b c", "en", "src3", 5]]
+    rows += [[126, "x" * 900, "en", "src3", 900], [127, "ab " * 700, "en", "src3", 2100], [128, rows[5][1], "en", "src0", 1], [128, rows[5][1], "en", "src0", 1], [129, "É" * 300 + passage, "fr", "src0", 1]]
+    return [tuple(r) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    return spark.createDataFrame(corpus, DOCS).withColumn("kept", F.lit(1)).withColumn("set_id", F.lit("clash")).withColumn("_text", F.lit(0))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_bpe_equals_the_library_and_counts_every_prefix():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, encoder, counter = Tokenizer.from_file(path), bpe.Encoder.load(path), bpe.Counter.load(path)
+    rng = random.Random(1)
+    alphabet = "ab  \n\n\t'sltdvre 19.,!<|endoftext|>éñü　\x1c\x85 the ing"
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", "<|endoftext|> x"])
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == ids and encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        counts = [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        prefixes = counter.prefixes(text)
+        assert [prefixes.count(p) for p in range(len(text) + 1)] == counts
+        assert all(prefixes.fit(b) == max(p for p, c in enumerate(counts) if c <= b) for b in (0, 1, 4, 9))
+    long = "a" * 20_000
+    assert counter.count(long) == len(library.encode(long, add_special_tokens=False).ids)
+
+
+def test_tokenizer_queries(docs, empty, corpus):
+    path = queries.tokenizer_path()
+    rows = bpe.encode_documents(docs, path).collect()
+    assert len(rows) == len(corpus) and all(r.round_trip for r in rows)
+    assert bpe.encode_documents(empty, path, keep_ids=False).count() == 0
+    counted = {(r.doc_id, r.n_bytes): r for r in bpe.count_tokens(docs, path, limit=50).collect()}
+    assert counted[120, 0].n_tokens == 0 and not counted[120, 0].over_limit
+    assert all(r.over_limit == (r.n_tokens > 50) for r in counted.values())
+    assert bpe.count_tokens(empty, path).count() == 0
+
+
+def brute_windows(items, width=13):
+    out = collections.defaultdict(set)
+    for name, text in items:
+        words = decontaminate.alnum_words((text or "").encode())
+        n = min(width, len(words))
+        for k in range(len(words) - n + 1 if n else 0):
+            out[tuple(words[k : k + n])].add(name)
+    return out
+
+
+def test_contamination_equals_brute_force(spark, docs, corpus, empty):
+    passage = corpus[101][1].split()
+    bench = [(1, " ".join(passage[10:40])), (2, "a b c"), (3, None), (4, "..."), (5, corpus[3][1]), (5, corpus[3][1]), (None, corpus[9][1])]
+    items = spark.createDataFrame(bench, "item_id long, text string").withColumn("doc_id", F.lit(9))
+    windows = brute_windows([("" if i is None else str(i), t) for i, t in bench])
+    lengths = {len(w) for w in windows}
+    got = decontaminate.contamination(docs, items).collect()
+    assert len(got) == len(corpus)
+    expected = collections.Counter()
+    for doc_id, text, *_ in corpus:
+        words = decontaminate.alnum_words((text or "").encode())
+        hit, names = set(), set()
+        for n in lengths:
+            for k in range(len(words) - n + 1):
+                if found := windows.get(tuple(words[k : k + n])):
+                    hit.update(range(k, k + n))
+                    names |= found
+        expected[doc_id, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)] += 1
+    assert collections.Counter(tuple(r) for r in got) == expected
+    assert any(r.contaminated for r in got)
+    bad = {r.doc_id for r in got if r.contaminated}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {r[0] for r in corpus} - bad
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, items.limit(0)).collect())
+
+
+def test_contamination_in_blocks(monkeypatch, docs, spark, corpus):
+    items = spark.createDataFrame([(k, corpus[k][1]) for k in range(8)], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contamination(docs, items).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    assert sorted(map(tuple, decontaminate.contamination(docs, items).collect()), key=str) == whole
+
+
+def test_phrase_and_proximity_matches(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "three z one two"), (3, "one far far far far far two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
+    index = decontaminate.build_index(docs)
+    exact = decontaminate.matches(index, items).collect()
+    assert [(r.doc_id, r.begin, r.end, r.kind) for r in exact] == [(1, 1, 4, "phrase")]
+    near = {(r.doc_id, r.begin, r.end, r.kind) for r in decontaminate.matches(index, items, slop=1).collect()}
+    assert near == {(1, 1, 4, "phrase"), (2, 0, 4, "proximity")}
+
+
+def brute_jaccard(rows):
+    sets = []
+    for doc_id, text, *_ in rows:
+        words = (text or "").encode().translate(LOWER).split()
+        sets.append((doc_id, frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])))
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (doc_id, _) in enumerate(sets):
+        least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    return [(doc_id, len(s), least[find(k)]) for k, (doc_id, s) in enumerate(sets)]
+
+
+@pytest.mark.parametrize("frequent", [64, 3, 1])
+def test_jaccard_join_equals_brute_force(monkeypatch, docs, corpus, empty, frequent):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)  # low values push tokens into the combined class
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == sorted(brute_jaccard(corpus))
+    assert len({r[2] for r in got}) < len({r[0] for r in got})
+    if frequent == 64:
+        assert jaccard_join.jaccard_components(empty).count() == 0
+        stays = jaccard_join.keep_one_per_component(docs)
+        kept = [r.doc_id for r in stays.collect()]
+        wordless = {d for d, n, _ in got if n == 0}
+        assert sorted(kept) == sorted({c for _, n, c in got if n} | wordless)
+        assert stays.columns == docs.columns
+
+
+def test_combination_prefixes_share_an_entry():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(4, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = a.copy()
+        gone = rng.permutation(len(b))[: rng.integers(0, max(1, len(b) // 9))]
+        b = np.unique(np.concatenate([np.delete(b, gone), rng.integers(0, 1 << 63, rng.integers(0, max(1, len(b) // 9))).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 80 * (len(a) + len(b) - shared):
+            share = rng.random()
+            frequent = lambda x, s=share: (x % np.uint64(1000)).astype(float) / 1000 < s
+            assert len(np.intersect1d(jaccard_join.combination_prefix(a, frequent(a)), jaccard_join.combination_prefix(b, frequent(b))))
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 200), (None, 5), (31, 30)]
+    got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_suffix(rows):
+    places = collections.Counter()
+    data = [(r[0], (r[1] or "").encode()) for r in rows]
+    for _, b in data:
+        places.update(b[k : k + 200] for k in range(len(b) - 199))
+    out = []
+    for doc_id, b in data:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if places[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out.append((doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+    return out
+
+
+def test_suffix_dedup_equals_brute_force(monkeypatch, docs, corpus, empty):
+    expected = brute_suffix(corpus)
+    assert sum(r[2] for r in expected) > 0
+    for step in (1 << 19, 257):  # a small step cuts runs of windows apart
+        monkeypatch.setattr(suffix_dedup, "STEP", step)
+        assert sorted(tuple(r) for r in suffix_dedup.removal_digests(docs).collect()) == sorted(r[:5] for r in expected)
+    cut = suffix_dedup.remove_repeats(docs)
+    assert cut.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in cut.collect()) == sorted((r[0], r[5].decode("utf-8", "ignore")) for r in expected)
+    assert suffix_dedup.removal_digests(empty).count() == 0
+
+
+def test_suffix_sort_orders_by_bytes():
+    rng = random.Random(8)
+    data = "".join(rng.choice("ab") for _ in range(600)).encode()
+    starts = np.array([rng.randrange(0, 560) for _ in range(90)])
+    lengths = np.array([rng.randint(1, 40) for _ in starts])
+    order = suffix_dedup.SuffixSorter(np.frombuffer(data, np.uint8), starts, lengths, np.zeros(len(starts), np.int64)).sort()
+    pieces = [data[s : s + n] for s, n in zip(starts, lengths, strict=True)]
+    assert list(order) == sorted(range(len(pieces)), key=lambda k: (pieces[k], k))
+
+
+def test_quality_rules_equal_brute_force(docs, corpus, empty):
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == len(corpus)
+    texts = {(r[0], r[3]): r[1] or "" for r in corpus}
+    for r in got:
+        words = texts[r.doc_id, r.host].encode().split()
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        counts = collections.Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if counts[w] > 1 for j in range(8)}
+        assert (r.n_words, r.n_repeat_words) == (len(words), len(covered))
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+        assert r.kept == (not r.base_failed and not r.host_bad)
+    kept = collections.Counter(r.doc_id for r in got if r.kept)
+    assert collections.Counter(r.doc_id for r in quality_rules.drop_rejected(docs).collect()) == kept
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_host_rates_are_shrunk(spark):
+    rows = [(f"h{h}", h == 0 or k % 10 == 0) for h in range(8) for k in range(200 if h else 3)]
+    verdicts = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+    assert verdicts["h0"].host_rate < 1 and abs(verdicts["h1"].host_rate - 0.1) < 0.05 and not verdicts["h1"].host_bad
+
+
+def test_chat_round_trip_of_hostile_texts(spark):
+    rng = random.Random(4)
+    bits = ["<s>", "</s>", "[INST]", " [/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE 61>>", "<</ROLE>>", "\\", "<\\s>", "[\\\\/INST]", "a", " ", "\n", "é", "<", "["]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", "", None]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))])) for c in range(150) for t in range(rng.randint(1, 4))]
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (None, None, "user", "x"), (None, None, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_out", F.lit(1)).withColumn("formatted", F.lit(2))
+    out = chat.format_conversations(turns).collect()
+    assert all(r.round_trip for r in out)
+    want = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        want[c].append((t, role or "", text or ""))
+    for r in out:
+        assert [(x.role, x.text) for x in r.turns] == [x[1:] for x in sorted(want[r.conv_id], key=lambda x: (x[0] or 0, x[1], x[2]))]
+    digest = {r.conv_id: r for r in chat.conversation_digests(chat.format_conversations(turns)).collect()}
+    assert digest[-1].loss_chars == len("</s>[INST] ok [/INST]")
+    assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_quality_scores_on_held_out_rows(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_crf.quality_scores(docs, quality_crf.train(docs, labels)).join(labels, "doc_id").filter("held_out").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert bad and sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
+
+
+def test_quality_of_odd_rows(docs, empty, spark, corpus):
+    model = quality_crf.train(docs, spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (7, 5)], "doc_id long, quality int"))
+    rows = quality_crf.quality_scores(docs, model).collect()
+    assert len(rows) == len(corpus) and all(0 <= r.score <= 1 for r in rows)
+    assert quality_crf.quality_scores(empty, model).count() == 0
+    none = quality_crf.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    assert all(r.score == 0.5 for r in quality_crf.quality_scores(docs, none).collect())
+
+
+def test_language_on_held_out_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    languages, weights = lang_crf.train(docs)
+    rows = lang_crf.identify(docs, languages, weights).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert rows and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+    en, fr = (docs.filter(f"lang = '{x}'").first().text.split("\n")[0] for x in ("en", "fr"))
+    mixed = spark.createDataFrame([(1, f"{en[:200]} {fr[:60]}")], "doc_id long, text string")
+    assert lang_crf.identify(mixed, languages, weights).first().lang_pred == "en"
+
+
+def test_language_of_odd_rows(docs, empty, corpus):
+    languages, weights = lang_crf.train(docs)
+    rows = lang_crf.identify(docs, languages, weights).collect()
+    assert languages == ["en"] or languages == ["en", "fr"]
+    assert len(rows) == len(corpus) and {r.lang_pred for r in rows if r.doc_id in (120, 121, 122)} == {"und"}
+    assert lang_crf.identify(docs, *lang_crf.train(empty)).filter("lang_pred <> 'und'").count() == 0
+
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><!-- x --><div class='ad'>Buy now</div>"
+    "<article><h1>A &amp; B</h1><p>First   para\ngraph with some words, and <b>bold</b> ones.<p>Second &lt;one&gt;, unclosed.<br>more<div class=\"share\"><ul><li><a href=#>Share</a></li></ul></div></article>"
+    "<div class='comments'><div class='comment'><p>Nice article, thanks a lot.</p></div></div><footer>&copy; me</footer>"
+)
+
+
+def test_main_text_of_pages(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "just text"), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    rows = html_extract.main_text(pages, html_extract.trained()).collect()
+    want = "A & B\nFirst para graph with some words, and bold ones.\nSecond <one>, unclosed. more"
+    assert [r.text for r in rows if r.page_id == 1] == [want, want]
+    assert all(r.n_chars == len(r.text) for r in rows) and [r.text for r in rows if r.page_id in (2, 3)] == ["", ""]
+
+
+def test_decoding_has_no_contradictions_and_is_accurate():
+    rng, model, wrong, total = random.Random(77), html_extract.trained(), 0, 0
+    for _ in range(60):
+        page = html_extract.Page(html_extract.sample_page(rng))
+        kept = html_extract.decode(page, model.log_odds(html_extract.features(page)))
+        assert all(kept[page.parent[k]] for k in range(1, len(kept)) if kept[k])
+        wrong += int((kept != (html_extract._labels(page) > 0))[1:].sum())
+        total += len(kept)
+    assert wrong / total < 0.02
+
+
+def test_pipeline_stages_on_a_small_table(spark, docs, sf_dir, corpus):
+    import corpus_pipeline
+
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, plain, sf_dir)
+        assert out.columns == plain.columns, name
+        plain = spark.createDataFrame(out.collect(), plain.schema)
+    assert 0 < plain.count() < len(corpus)
+    last = corpus_pipeline.STAGES[-1][1](spark, plain, sf_dir).collect()
+    assert len(last) == plain.count() and all(r.round_trip and len(r.ids) == r.n_tokens for r in last)
+    assert corpus_pipeline.STAGES[0][1](spark, plain.limit(0), sf_dir).count() == 0
