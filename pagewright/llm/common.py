@@ -147,16 +147,20 @@ def merged_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     packed = rows.schema[0].dataType.typeName() == "binary"
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits, bool)
+        out = np.zeros(bits >> 3, np.uint8)
         some = False
         for batch in batches:
             some = True
             column = batch.column(0)
             parts = (np.frombuffer(x.as_buffer(), np.uint64) for x in column) if packed else [column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)]
             for values in parts:
-                out[(values & np.uint64(bits - 1)).astype(np.int64)] = True
+                at = np.unique(values & np.uint64(bits - 1))
+                if len(at):
+                    byte = (at >> np.uint64(3)).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+                    out[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint64(7)).astype(np.uint8), first)
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(bits >> 3, np.uint8)

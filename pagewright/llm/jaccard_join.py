@@ -6,8 +6,10 @@ Between classes:
 * Tokens (shingles) have a global order: rare ones first, each class by hash. Of a set of n tokens that
   must share t = ceil(0.8 n) with a partner, a prefix is indexed. With single tokens it holds n - t + 1
   tokens: any partner's prefix shares one of them.
-* Tokens found in more than ``FREQUENT`` prefixes (by hash alone) make the frequent class, kept as a bitmap
-  of fixed size; a rare token that shares a bit is merely treated as frequent. They are indexed as 2-token combinations:
+* Tokens found in more prefixes (by hash alone) than a limit make the frequent class, kept as a bitmap of
+  bounded size; a rare token that shares a bit is merely treated as frequent. The limit is 1, and more only
+  where the bitmap would fill up: then texts with a fifth of their shingles unseen elsewhere, which is most
+  of them, meet nobody. They are indexed as 2-token combinations:
   the frequent class is dealt into parts and the prefix is extended until
   rare + sum over parts of (tokens in the part - 1) >= n - t + 1.
   If a partner shared no rare token and at most one token in each part, then at least n - t + 1 of the
@@ -40,10 +42,8 @@ from .components import connected_components
 SHINGLE = 5
 #: Two sets link when 100 * shared >= 80 * united.
 SHARE, OF = 80, 100
-#: A token in more prefixes than this is of the frequent class.
-FREQUENT = 64
-#: Bits of the bitmap of frequent tokens.
-CLASS_BITS = 1 << 23
+#: Bits of the bitmap of frequent tokens, at most.
+CLASS_BITS = 1 << 27
 #: Postings that are packed at a time, and how many a bucket should hold about.
 CHUNK, BUCKET = 1 << 17, 1 << 19
 _K = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -74,6 +74,14 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def frequent_above(n_tokens: int) -> int:
+    """Tokens in more prefixes than this are of the frequent class: the least limit with which they surely set at most an eighth of the bits.
+
+    Of the prefix tokens (a fifth of all), at most one in ``limit`` + 1 can have more than ``limit`` places.
+    """
+    return max(1, -(-(n_tokens // 5 + 1) * 8 // CLASS_BITS) - 1)
+
+
 def needed(n: int) -> int:
     """Tokens of a set of n that a prefix must cover: n - ceil(0.8 n) + 1."""
     return n - -(-n * SHARE // OF) + 1
@@ -144,8 +152,8 @@ def _chunks(entries: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndar
 _PACKED = "bucket int, tokens binary, more binary"
 
 
-def _frequent(packed: DataFrame) -> DataFrame:
-    """Packed tokens whose counts sum to more than ``FREQUENT``: a row per bucket that has some."""
+def _frequent(packed: DataFrame, limit: int) -> DataFrame:
+    """Packed tokens whose counts sum to more than ``limit``: a row per bucket that has some."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["tokens"]])
@@ -153,7 +161,7 @@ def _frequent(packed: DataFrame) -> DataFrame:
         order = np.argsort(key, kind="stable")
         key = key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        over = np.add.reduceat(counts[order].astype(np.int64), starts) > FREQUENT
+        over = np.add.reduceat(counts[order].astype(np.int64), starts) > limit
         return pd.DataFrame({"ids": [key[starts[over]].tobytes()] if over.any() else []})
 
     return packed.groupBy("bucket").applyInPandas(run, "ids binary")
@@ -186,40 +194,62 @@ def _groups(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "list_id bigint, ids binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _links_of(shared: int, x: int, y: int) -> bool:
+    return OF * shared >= SHARE * (x + y - shared)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two sorted arrays without repetition."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _numbered(coarse: np.ndarray) -> np.ndarray:
+    """Sorted 16-bit values made distinct by the number of their occurrence."""
+    wide = coarse.astype(np.int64)
+    return wide << 32 | (np.arange(len(wide)) - np.searchsorted(wide, wide))
+
+
+def _sifted(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) that link as far as ``column`` of their sets can tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = (lambda v: np.frombuffer(v.as_buffer(), np.uint64)) if column == "tokens" else (lambda v: _numbered(np.frombuffer(v.as_buffer(), np.uint16)))
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if OF * min(len(x), len(y)) < SHARE * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(OF * shared >= SHARE * (len(both) - shared))
+                x, y = read(x), read(y)
+                keep.append(_links_of(min(len(x), len(y)), len(x), len(y)) and _links_of(_shared(x, y), len(x), len(y)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("_x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("_y"))
+    left = sets.select(F.col("set_id").alias("a"), F.col(column).alias("_x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col(column).alias("_y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    First by the tokens' upper 16 bits: equal tokens have equal ones, so what these have in common is never
+    less than what the sets share, and a quarter of the bytes clears most pairs. The rest meet as whole sets.
+    """
+    return _sifted(_sifted(pairs, sets, "coarse"), sets, "tokens")
+
+
 def _star_pairs(groups: DataFrame) -> DataFrame:
+    """One pair (a, b) per member: b with a, the least first id among the lists that it is in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_buffer(), np.int64)
-                a.append(np.repeat(ids[:1], len(ids) - 1))
-                b.append(ids[1:])
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+            lists = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column(0)]
+            if lists:
+                a, b = np.concatenate([np.repeat(x[:1], len(x)) for x in lists]), np.concatenate(lists)
+                order = np.lexsort((a, b))
+                a, b = a[order], b[order]
+                keep = np.r_[True, b[1:] != b[:-1]] & (a != b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
 
-    return groups.select("ids").mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.select("ids").mapInArrow(run, "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def _members(groups: DataFrame) -> DataFrame:
@@ -257,7 +287,8 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
             values, counts = np.unique(key, return_counts=True)
             yield _by_bucket(values, buckets, counts.astype(np.uint32))
 
-    bitmap = texts.sparkSession.sparkContext.broadcast(merged_bitmap(_frequent(texts.mapInArrow(counted, _PACKED)), CLASS_BITS))
+    bits = min(CLASS_BITS, 1 << max(20, (n_tokens * 4).bit_length()))
+    bitmap = texts.sparkSession.sparkContext.broadcast(merged_bitmap(_frequent(texts.mapInArrow(counted, _PACKED), frequent_above(n_tokens)), bits))
 
     def indexed(batches):
         for key, who in _chunks((k, combination_prefix(t, in_bitmap(t, bitmap.value))) for k, t in _distinct_sets(batches) if len(t) > 3):
@@ -276,18 +307,19 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits - 1
         ids, sets, size = [], [], 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([(t >> np.uint64(48)).astype(np.uint16).tobytes() for t in sets], pa.binary())], ["set_id", "tokens", "coarse"])
         for k, tokens in _distinct_sets(batches):
             if candidates.value[(k & mask) >> 3] >> (k & 7) & 1:
                 ids.append(k)
-                sets.append(tokens.tobytes())
-                size += len(sets[-1])
+                sets.append(tokens)
+                size += tokens.nbytes
             if size > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "tokens"])
+                yield row()
                 ids, sets, size = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "tokens"])
+            yield row()
 
-    sets = stash(texts.mapInArrow(whole, "set_id bigint, tokens binary").dropDuplicates(["set_id"]), "sets")
+    sets = stash(texts.mapInArrow(whole, "set_id bigint, tokens binary, coarse binary").dropDuplicates(["set_id"]), "sets")
     edges = stash(_verified(pairs, sets), "links")
     roots = stash(connected_components(edges), "roots")
     members = _members(lists).join(roots, "id", "left").select("list_id", "id", F.coalesce("root", "id").alias("root"))
