@@ -94,7 +94,7 @@ def decode_orientation(values: Column) -> Column:
     Values that lie from 0 to 1 and sum to 1 within 0.01 are probabilities; others go through softmax.
     """
     f = lambda c: c.cast("float")
-    v = [f(values[k]) for k in range(4)]
+    v = [f(F.get(values, F.lit(k))) for k in range(4)]
     total = f(f(f(v[0] + v[1]) + v[2]) + v[3])
     probabilities = F.abs(total - F.lit(1.0).cast("float")) <= F.lit(0.01).cast("float")
     for x in v:
