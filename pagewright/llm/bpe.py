@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import accumulate, chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose encoding a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Longer pieces are encoded again each time, so that memory stays bounded.
 LONGEST_REMEMBERED = 64
 NEVER = 1 << 60
@@ -119,7 +120,7 @@ class Vocabulary:
                 pair = last[start] << 20 | token
                 fits = known.get(pair)
                 if fits is None:
-                    if len(known) >= 4 * REMEMBERED:
+                    if len(known) >= 2 * REMEMBERED:
                         known.clear()
                     fits = known[pair] = self.compatible(last[start], token)
                 if not fits:
@@ -284,14 +285,14 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
         decimal = Remembering(str)
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             out: dict[str, list] = {n: [] for n in names[1:]}
             for text in batch.column(1):
                 text = text.as_py() or ""
                 ids = encoder.encode(text)
                 back = encoder.decode(ids)
                 if keep_ids:
-                    out["ids"].append(ids)
+                    out["ids"].append(np.array(ids, np.int32))
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())

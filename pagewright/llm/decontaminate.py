@@ -29,20 +29,9 @@ HIT_SHARE = 20
 SEGMENT, BLOCK_WORDS = 4 << 20, 1 << 21
 
 
-class _TermHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_terms = _TermHash()
-
-
 def term_keys(text: str | None) -> np.ndarray:
     words = alnum_words((text or "").encode())
-    return np.fromiter(map(_terms.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 class Segment:
