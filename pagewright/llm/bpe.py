@@ -195,6 +195,11 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def forget(self) -> None:
+        """Empties what is remembered: a worker that is used again by another operator must not hold it."""
+        self.ids.clear()
+        self.vocabulary._compatible.clear()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.ids.__getitem__, self.vocabulary.pieces(text))))
 
@@ -262,6 +267,10 @@ class Counter:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def forget(self) -> None:
+        self.counts.clear()
+        self.vocabulary._compatible.clear()
+
     def count(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.vocabulary.pieces(text)))
 
@@ -299,6 +308,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 out["round_trip"].append(back == text)
             types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "round_trip": pa.bool_()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], types.get(n, pa.string())) for n in names[1:])], names)
+        encoder.forget()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -325,5 +335,6 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str =
                 tokens.append(n)
                 fits.append(counter.prefixes(text).fit(limit) if n > limit else len(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())], names)
+        counter.forget()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint")
