@@ -3,22 +3,26 @@
 A document is the set of hashes of its distinct 5-word shingles. Equal sets are one class from the start.
 Between classes:
 
-* Tokens (shingles) have a global order: rare ones first, each class by hash. Of a set of n tokens that
+* Tokens (shingles) have a global order: by frequency class, rare ones first, each class by hash. Of a set of n tokens that
   must share t = ceil(0.8 n) with a partner, a prefix is indexed. With single tokens it holds n - t + 1
   tokens: any partner's prefix shares one of them.
-* Tokens found in more prefixes (by hash alone) than a limit make the frequent class, kept as a bitmap of
-  bounded size; a rare token that shares a bit is merely treated as frequent. The limit is 1, and more only
-  where the bitmap would fill up: then texts with a fifth of their shingles unseen elsewhere, which is most
-  of them, meet nobody. They are indexed as 2-token combinations:
-  the frequent class is dealt into parts and the prefix is extended until
+* All tokens of all sets are counted. Those found more often than a limit are frequent, in three classes by
+  count, each kept as a bitmap of bounded size; a token that shares a bit is merely treated as more frequent.
+  The limit is 1, and more only where the bitmap would fill up: then texts with a fifth of their shingles
+  unseen elsewhere, which is most of them, meet nobody. Common passages come last in the order, so they are
+  indexed only by sets that hold little else. Frequent tokens are indexed as 2-token combinations:
+  they are dealt into parts and the prefix is extended until
   rare + sum over parts of (tokens in the part - 1) >= n - t + 1.
   If a partner shared no rare token and at most one token in each part, then at least n - t + 1 of the
   prefix tokens would be missing from it, so t tokens could not be shared. The number of parts follows
   the size level of the set; levels grow by 1.25, so partners are at most one level apart, and each set
   is indexed at its own level and the next.
+* Tokens found once only come first in the order and are not indexed: they meet nobody, and a set with more
+  than a fifth of them has no partner at all.
 * Sets that share an index entry are candidates. Within a group, each member is first compared with one
-  centre; only members that then still lie in different components are compared with one another. Every
-  link is verified on the whole sets.
+  centre, then with the member that has the fewest tokens of its own (a text that the others were made from);
+  only members that then still lie in different components, and whose tokens found elsewhere are enough for a
+  link, are compared with one another. Every link is verified on the whole sets.
 
 Sets of three tokens or fewer link with no different set. Index entries travel packed, dealt by hash into
 as many buckets as the data needs, so none is large.
@@ -42,8 +46,10 @@ from .components import connected_components
 SHINGLE = 5
 #: Two sets link when 100 * shared >= 80 * united.
 SHARE, OF = 80, 100
-#: Bits of the bitmap of frequent tokens, at most.
+#: Bits of a bitmap of frequent tokens, at most.
 CLASS_BITS = 1 << 27
+#: The classes of frequent tokens begin at these multiples of the least frequent count.
+CLASSES = (1, 16, 256)
 #: Postings that are packed at a time, and how many a bucket should hold about.
 CHUNK, BUCKET = 1 << 17, 1 << 19
 _K = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -75,11 +81,11 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def frequent_above(n_tokens: int) -> int:
-    """Tokens in more prefixes than this are of the frequent class: the least limit with which they surely set at most an eighth of the bits.
+    """Tokens found more often than this are frequent: the least limit with which they surely set at most an eighth of the bits.
 
-    Of the prefix tokens (a fifth of all), at most one in ``limit`` + 1 can have more than ``limit`` places.
+    Of all tokens, at most one in ``limit`` + 1 can be found more than ``limit`` times.
     """
-    return max(1, -(-(n_tokens // 5 + 1) * 8 // CLASS_BITS) - 1)
+    return max(1, -(-n_tokens * 8 // CLASS_BITS) - 1)
 
 
 def needed(n: int) -> int:
@@ -87,12 +93,15 @@ def needed(n: int) -> int:
     return n - -(-n * SHARE // OF) + 1
 
 
-def combination_prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index entries of a sorted set, given which of its tokens are of the frequent class."""
-    need = needed(len(tokens))
-    rare, common = tokens[~frequent], tokens[frequent]
+def combination_prefix(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Index entries of a sorted set, given the frequency class of each token (-1: in no other set, 0: rare)."""
+    need = needed(len(tokens)) - int((rank < 0).sum())
+    if need <= 0:
+        return tokens[:0]
+    rare = tokens[rank == 0]
     if len(rare) >= need:
         return rare[:need]
+    common = tokens[np.argsort(rank, kind="stable")][int((rank <= 0).sum()) :]
     out = [rare]
     level = int(np.searchsorted(_LEVELS, len(tokens), "right")) - 1
     for at in (level, level + 1):
@@ -152,19 +161,70 @@ def _chunks(entries: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndar
 _PACKED = "bucket int, tokens binary, more binary"
 
 
-def _frequent(packed: DataFrame, limit: int) -> DataFrame:
-    """Packed tokens whose counts sum to more than ``limit``: a row per bucket that has some."""
+def _address(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """What the count of a token goes by: its bucket and its upper 32 bits."""
+    return (tokens >> np.uint64(32)) * np.uint64(buckets) | tokens & np.uint64(buckets - 1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["tokens"]])
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["more"]])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        over = np.add.reduceat(counts[order].astype(np.int64), starts) > limit
-        return pd.DataFrame({"ids": [key[starts[over]].tobytes()] if over.any() else []})
 
-    return packed.groupBy("bucket").applyInPandas(run, "ids binary")
+def _counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """Per bucket, packed upper halves of the tokens: those found once in a chunk, and (half, count) of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _ in _chunks((k, t) for k, t in _distinct_sets(batches) if len(t) > 3):
+            bucket = key & np.uint64(buckets - 1)
+            values, counts = np.unique(bucket << np.uint64(32) | key >> np.uint64(32), return_counts=True)
+            cuts = np.searchsorted(values, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+            halves, once, rows = values.astype(np.uint32), counts == 1, []
+            for at, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    many = ~once[a:b]
+                    rows.append((at, halves[a:b][~many].tobytes(), np.stack((halves[a:b][many], counts[a:b][many].astype(np.uint32))).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["bucket", "tokens", "more"])
+
+    return texts.mapInArrow(run, _PACKED)
+
+
+def _frequent(packed: DataFrame, buckets: int, limits: list[int]) -> DataFrame:
+    """``above`` (a limit), ``n`` and ``ids``: packed addresses of tokens found more often; a row per bucket and limit."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["bucket"].iloc[0])
+        once = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["tokens"]])
+        many = np.concatenate([np.frombuffer(b, np.uint32).reshape(2, -1) for b in pdf["more"]], axis=1)
+        del pdf
+        half = np.concatenate((once, many[0]))
+        order = np.argsort(half, kind="stable")
+        counts = np.concatenate((np.ones(len(once), np.uint32), many[1]))[order]
+        half = half[order]
+        starts = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
+        sums = np.add.reduceat(counts, starts, dtype=np.int64)
+        ids = half[starts].astype(np.uint64) * np.uint64(buckets) | np.uint64(at)
+        rows = [(x, int((sums > x).sum()), ids[sums > x].tobytes()) for x in limits]
+        return pd.DataFrame([r for r in rows if r[1]], columns=["above", "n", "ids"]).astype({"above": "int64", "n": "int64"})
+
+    return packed.groupBy("bucket").applyInPandas(run, "above bigint, n bigint, ids binary")
+
+
+def _ranks(texts: DataFrame, n_tokens: int, buckets: int):
+    """The broadcast bitmaps: tokens found twice or more, then the classes of frequent tokens from the least limit on."""
+    limits = [1, *((frequent_above(n_tokens) + 1) * x - 1 for x in CLASSES)]
+    found = stash(_frequent(_counted(texts, buckets), buckets, sorted(set(limits))), "frequent")
+    n = {r["above"]: r["n"] for r in found.groupBy("above").agg(F.sum("n").alias("n")).collect()}
+    size = lambda x: min(CLASS_BITS, 1 << max(16, (8 * n.get(x, 0)).bit_length()))
+    bitmaps = {x: merged_bitmap(found.filter(F.col("above") == x).select("ids"), size(x)) for x in set(limits)}
+    unstash(found)
+    return texts.sparkSession.sparkContext.broadcast([bitmaps[x] for x in limits])
+
+
+def _rank(tokens: np.ndarray, buckets: int, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Frequency class of each token: -1 if surely in no other set, else in how many of the bitmaps after the first it is."""
+    at = _address(tokens, buckets)
+    rank = in_bitmap(at, bitmaps[0]).astype(np.int8) - np.int8(1)
+    some = np.flatnonzero(rank == 0)
+    for bitmap in bitmaps[1:]:
+        some = some[in_bitmap(at[some], bitmap)]
+        rank[some] += 1
+    return rank
 
 
 def _groups(packed: DataFrame) -> DataFrame:
@@ -262,6 +322,38 @@ def _members(groups: DataFrame) -> DataFrame:
     return groups.select("list_id", "ids").mapInArrow(run, "list_id bigint, id bigint").distinct()
 
 
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their ``root``, of the lists that hold several components."""
+    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = rooted.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list_id")
+    return rooted.join(split, "list_id", "left_semi")
+
+
+def _may_link(a: str, b: str):
+    """Whether two sets can link, if all their tokens found elsewhere were shared; columns are structs with n and own."""
+    na, nb, shared = F.col(a)["n"], F.col(b)["n"], F.least(F.col(a)["n"] - F.col(a)["own"], F.col(b)["n"] - F.col(b)["own"])
+    return OF * shared >= SHARE * (na + nb - shared)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    ids = F.col("x")["id"], F.col("y")["id"]
+    return pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
+
+
+def _centre_pairs(apart: DataFrame) -> DataFrame:
+    """Per list, each member of another component with the member that has the fewest tokens of its own."""
+    rows = apart.select("list_id", F.struct("id", "root", "n", "own").alias("y"))
+    centres = apart.groupBy("list_id").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "root", "n", "own")).alias("x"))
+    return _ordered(rows.join(centres, "list_id").filter((F.col("x")["root"] != F.col("y")["root"]) & _may_link("x", "y")))
+
+
+def _cross_pairs(apart: DataFrame) -> DataFrame:
+    """Per list, the members of different components that may link."""
+    rows = apart.filter(OF * (F.col("n") - F.col("own")) >= SHARE * F.col("n")).select("list_id", F.struct("id", "root", "n", "own").alias("x"))
+    other = rows.withColumnRenamed("x", "y")
+    return _ordered(rows.join(other, "list_id").filter((F.col("x")["root"] < F.col("y")["root"]) & _may_link("x", "y")))
+
+
 def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``set_id`` (null for an empty set) per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -282,16 +374,10 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
     """Component roots of the sets that have links: ``id``, ``root``."""
     buckets = 1 << max(4, (n_tokens // 4 // BUCKET).bit_length())
 
-    def counted(batches):
-        for key, _ in _chunks((k, t[: needed(len(t))]) for k, t in _distinct_sets(batches) if len(t) > 3):
-            values, counts = np.unique(key, return_counts=True)
-            yield _by_bucket(values, buckets, counts.astype(np.uint32))
-
-    bits = min(CLASS_BITS, 1 << max(20, (n_tokens * 4).bit_length()))
-    bitmap = texts.sparkSession.sparkContext.broadcast(merged_bitmap(_frequent(texts.mapInArrow(counted, _PACKED), frequent_above(n_tokens)), bits))
+    bitmaps = _ranks(texts, n_tokens, buckets)
 
     def indexed(batches):
-        for key, who in _chunks((k, combination_prefix(t, in_bitmap(t, bitmap.value))) for k, t in _distinct_sets(batches) if len(t) > 3):
+        for key, who in _chunks((k, combination_prefix(t, _rank(t, buckets, bitmaps.value))) for k, t in _distinct_sets(batches) if len(t) > 3):
             yield _by_bucket(key, buckets, who)
 
     found = stash(_groups(texts.mapInArrow(indexed, _PACKED)), "groups")
@@ -307,7 +393,8 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits - 1
         ids, sets, size = [], [], 0
-        row = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([(t >> np.uint64(48)).astype(np.uint16).tobytes() for t in sets], pa.binary())], ["set_id", "tokens", "coarse"])
+        own = lambda t: int((_rank(t, buckets, bitmaps.value) < 0).sum())
+        row = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([(t >> np.uint64(48)).astype(np.uint16).tobytes() for t in sets], pa.binary()), pa.array([len(t) for t in sets], pa.int64()), pa.array([own(t) for t in sets], pa.int64())], ["set_id", "tokens", "coarse", "n", "own"])
         for k, tokens in _distinct_sets(batches):
             if candidates.value[(k & mask) >> 3] >> (k & 7) & 1:
                 ids.append(k)
@@ -319,25 +406,23 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
         if ids:
             yield row()
 
-    sets = stash(texts.mapInArrow(whole, "set_id bigint, tokens binary, coarse binary").dropDuplicates(["set_id"]), "sets")
+    sets = stash(texts.mapInArrow(whole, "set_id bigint, tokens binary, coarse binary, n bigint, own bigint").dropDuplicates(["set_id"]), "sets")
     edges = stash(_verified(pairs, sets), "links")
     roots = stash(connected_components(edges), "roots")
-    members = _members(lists).join(roots, "id", "left").select("list_id", "id", F.coalesce("root", "id").alias("root"))
-    sizes = sets.select(F.col("set_id").alias("id"), F.octet_length("tokens").alias("n"))
-    split = members.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list_id")
-    apart = members.join(split, "list_id", "left_semi").join(sizes, "id")
-    left = apart.select("list_id", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = apart.select("list_id", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    cross = left.join(right, "list_id").filter((F.col("ra") < F.col("rb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stash(cross.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    extra = stash(_verified(rest, sets), "links")
-    if not extra.isEmpty():
-        # Components are kept by their stars, so only these and the new links are contracted again.
-        star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-        again = stash(connected_components(star.unionByName(extra)), "roots")
-        unstash(roots)
-        roots = again
-    unstash(found, pairs, sets, edges, rest, extra)
+    members = stash(_members(lists).join(sets.select(F.col("set_id").alias("id"), "n", "own"), "id"), "members")
+    unstash(found)
+    for centred in (True, False):
+        apart = _apart(members, roots)
+        rest = stash((_centre_pairs(apart) if centred else _cross_pairs(apart)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        extra = stash(_verified(rest, sets), "links")
+        if not extra.isEmpty():
+            # Components are kept by their stars, so only these and the new links are contracted again.
+            star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+            again = stash(connected_components(star.unionByName(extra)), "roots")
+            unstash(roots)
+            roots = again
+        unstash(rest, extra)
+    unstash(pairs, sets, edges, members)
     return roots
 
 
