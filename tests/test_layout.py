@@ -160,6 +160,15 @@ def test_skew(angle):
     assert reliable and abs(found - angle) <= 0.5
 
 
+def test_skew_of_every_page(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("floor(l_orderkey / 4) % 12 = 7")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages = {r[0] for r in lines.selectExpr("floor(l_orderkey / 4)").distinct().collect()}
+    rows = catalog.QUERIES["page_skew"](spark, str(tmp_path)).collect()
+    assert max(pages) > 12 and sorted(r.page_id for r in rows) == sorted(pages)
+    assert all(r.within and r.drawn == (r.page_id % 5 - 2) * 3 for r in rows)
+
+
 def test_correction_of_pixels():
     page = correction.draw_page(1, 0)
     turned = correction.upright(page, 270)
