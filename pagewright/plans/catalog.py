@@ -343,8 +343,10 @@ def json_roundtrip(spark, sf_dir):
 @query
 def latex_normalize(spark, sf_dir):
     view(spark, sf_dir, "documents")
-    word = F.split_part("text", F.lit(" "), F.lit(1))
-    wrapped = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("$$ "), word, F.lit(" $$"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("  $"), word, F.lit("$ "))).when(F.col("doc_id") % 7 == 2, F.concat(F.lit("\\["), word, F.lit("\\]"))).when(F.col("doc_id") % 7 == 3, F.concat(F.lit("\\("), word, F.lit("\\)"))).when(F.col("doc_id") % 7 == 4, F.lit("$$")).when(F.col("doc_id") % 7 == 5, F.lit("$")).otherwise(word)
+    # Whole texts, four of seven in a pair of delimiters.
+    text, kind = F.col("text"), F.col("doc_id") % 7
+    pairs = [("$$ ", " $$"), ("  $", "$ "), ("\\[", "\\]"), ("\\(", "\\)")]
+    wrapped = F.coalesce(*(F.when(kind == k, F.concat(F.lit(before), text, F.lit(after))) for k, (before, after) in enumerate(pairs)), text)
     return spark.table("documents").select("doc_id", normalize_latex(wrapped).alias("latex"))
 
 

@@ -125,6 +125,23 @@ def test_texts(spark):
     assert one.b == "- first\n- second\n- ---" and one.i == "• first • second ---"
 
 
+def bare_latex(text):
+    text = text.strip()
+    for before, after in (("$$", "$$"), ("$", "$"), ("\\[", "\\]"), ("\\(", "\\)")):
+        if text.startswith(before) and text.endswith(after) and len(text) >= len(before + after):
+            return text[len(before) : -len(after)].strip() or None
+    return text or None
+
+
+def test_latex_of_whole_texts(spark, sf_dir, tmp_path):
+    odd = ["a b", " x  y ", "one\n two \n\nthree\n", "a $", "$ a", "$a b$", "\\[a b\\]", "\\(a\\) b\\)", "é\u3000𝑥 \n", "  ", "$$ $$", "x " * 3000 + "end"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(7_000_000 + 7 * i + k, x) for i, x in enumerate(odd) for k in range(7)], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [("$$ ", " $$"), ("  $", "$ "), ("\\[", "\\]"), ("\\(", "\\)"), ("", ""), ("", ""), ("", "")]
+    want = {r.doc_id: bare_latex(pairs[r.doc_id % 7][0] + r.text + pairs[r.doc_id % 7][1]) for r in docs.collect()}
+    assert {r.doc_id: r.latex for r in catalog.QUERIES["latex_normalize"](spark, str(tmp_path)).collect()} == want
+
+
 def test_document_exports(spark):
     rows = [(1, 1, 0, "PageHeader", "Head"), (1, 1, 1, "Title", "Quarterly\nReport"), (1, 1, 2, "Figure", None), (1, 1, 3, "List", "• a\n• b"), (1, 2, 0, "PageNumber", "7"), (1, 2, 1, "Formula", None), (2, 1, 0, "Seal", " ")]
     blocks = spark.createDataFrame(rows, "doc_id long, page_number int, reading_order int, type string, text string")
