@@ -145,7 +145,7 @@ def type_map_builtin(spark, sf_dir):
     kind = taxonomy.type_of(F.col("label"))
     view(spark, sf_dir, "documents")
     n = spark.table("documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
-    return frame.select("model", "label", kind.alias("type"), taxonomy.is_text_bearing(kind).alias("text_bearing"), taxonomy.is_furniture(kind).alias("furniture")).join(n.filter("lang = 'en'"), F.lit(True))
+    return frame.select("model", "label", kind.alias("type"), taxonomy.is_text_bearing(kind).alias("text_bearing"), taxonomy.is_furniture(kind).alias("furniture")).join(n, F.lit(True))
 
 
 @query

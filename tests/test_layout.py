@@ -142,6 +142,14 @@ def test_latex_of_whole_texts(spark, sf_dir, tmp_path):
     assert {r.doc_id: r.latex for r in catalog.QUERIES["latex_normalize"](spark, str(tmp_path)).collect()} == want
 
 
+def test_labels_cross_every_language(spark, tmp_path):
+    spark.createDataFrame([("fr",), ("fr",), ("de",)], "lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.QUERIES["type_map_builtin"](spark, str(tmp_path)).collect()
+    labels = {(r.model, r.label) for r in rows}
+    assert len(labels) > 40 and sorted((r.model, r.label, r.lang, r.n_docs) for r in rows) == sorted((*x, lang, n) for x in labels for lang, n in (("fr", 2), ("de", 1)))
+    assert len({(r.label, r.type, r.text_bearing, r.furniture) for r in rows}) == len({x[1] for x in labels})
+
+
 def test_document_exports(spark):
     rows = [(1, 1, 0, "PageHeader", "Head"), (1, 1, 1, "Title", "Quarterly\nReport"), (1, 1, 2, "Figure", None), (1, 1, 3, "List", "• a\n• b"), (1, 2, 0, "PageNumber", "7"), (1, 2, 1, "Formula", None), (2, 1, 0, "Seal", " ")]
     blocks = spark.createDataFrame(rows, "doc_id long, page_number int, reading_order int, type string, text string")
