@@ -31,6 +31,8 @@ REMEMBERED = 1 << 18
 #: Longer pieces are encoded again each time, so that memory stays bounded.
 LONGEST_REMEMBERED = 64
 NEVER = 1 << 60
+#: Pieces whose prefixes are not pieces: the quote and the letters of a cut one part.
+CONTRACTIONS = frozenset("'s 't 're 've 'm 'll 'd".split())
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -211,9 +213,10 @@ class PrefixCounts:
     """Exact token counts of the code-point prefixes of one text, from the stored prefix counts of its pieces.
 
     ``total`` is the whole text's count. ``count(p)`` is the count of ``text[:p]``: what stands before the
-    piece that the cut meets keeps its encoding, so the stored sums answer for it; only the cut piece (and
-    a run of blanks before the cut, which splits differently at the end of a text) is looked at again.
-    ``fit(budget)`` is the longest prefix of at most so many tokens.
+    piece that the cut meets keeps its encoding, so the stored sums answer for it; the counts of the cut
+    piece's prefixes are made once and kept. Only cut special strings and contractions, and a run of blanks
+    that ends at the cut after its first piece (it splits differently at the end of a text), are encoded again.
+    ``fit(budget)`` is the longest prefix of at most so many tokens, found backwards over the stored counts.
     """
 
     def __init__(self, counter: Counter, text: str) -> None:
@@ -226,20 +229,37 @@ class PrefixCounts:
         self.starts = list(accumulate(map(len, self.pieces), initial=0))
         self.sums = list(accumulate((counter.counts[p] for p in pieces), initial=0))
         self.total = self.sums[-1]
+        self.blanks = [len(p) - len(p.lstrip()) for p in self.pieces]
+        self.stored: dict[int, list[int]] = {}
+
+    def _blank(self, k: int) -> bool:
+        return self.blanks[k] == len(self.pieces[k])
+
+    def _within(self, k: int) -> list[int]:
+        """The counts of all code-point prefixes of piece ``k``."""
+        if k not in self.stored:
+            piece = self.pieces[k]
+            counts = self.counter.vocabulary.prefix_counts(piece.encode())
+            self.stored[k] = [counts[at] for at in accumulate((len(c.encode()) for c in piece), initial=0)]
+        return self.stored[k]
 
     def count(self, p: int) -> int:
         p = max(0, min(p, len(self.text)))
         if p == len(self.text):
             return self.total
         k = bisect_right(self.starts, p) - 1
-        if self.starts[k] == p and not (k and self.pieces[k - 1].isspace()):
+        if self.starts[k] == p and not (k and self._blank(k - 1)):
             return self.sums[k]
+        blank = p - self.starts[k] <= self.blanks[k]
         if self.fixed[k] and self.starts[k] < p:
             # A cut special string is ordinary text, which blanks and marks before it may join.
             for _ in range(3):
                 k -= k > 0 and not self.fixed[k - 1]
-        while k > 0 and self.text[self.starts[k] : p].strip() == "" and not self.fixed[k - 1] and self.pieces[k - 1].isspace():
+            blank = self.text[self.starts[k] : p].strip() == ""
+        while k > 0 and blank and not self.fixed[k - 1] and self._blank(k - 1):
             k -= 1
+        if p <= self.starts[k + 1] and not self.fixed[k] and self.pieces[k] not in CONTRACTIONS:
+            return self.sums[k] + self._within(k)[p - self.starts[k]]
         return self.sums[k] + sum(self.counter.counts[x] for x in self.counter.vocabulary.pieces(self.text[self.starts[k] : p]))
 
     def fit(self, budget: int) -> int:

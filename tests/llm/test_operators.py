@@ -70,6 +70,16 @@ def test_bpe_equals_the_library_and_counts_every_prefix():
     assert counter.count(long) == len(library.encode(long, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("piece", ["a", "é", " ", "\n", "!", "7"])
+def test_a_long_piece_is_not_encoded_for_every_prefix(monkeypatch, piece):
+    path, encoded, whole = queries.tokenizer_path(), [], bpe.Vocabulary.prefixes
+    counter, text = bpe.Counter(path), "x " + piece * 400 + "b " + piece * 400
+    expected = max(p for p in range(len(text)) if counter.count(text[:p]) <= 4)
+    monkeypatch.setattr(bpe.Vocabulary, "prefixes", lambda self, b: encoded.append(len(b)) or whole(self, b))
+    assert bpe.Counter(path).prefixes(text).fit(4) == expected
+    assert sum(encoded) < 10 * len(text.encode())
+
+
 def test_tokenizer_queries(docs, empty, corpus):
     path = queries.tokenizer_path()
     rows = bpe.encode_documents(docs, path).collect()
