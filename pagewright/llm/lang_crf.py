@@ -22,8 +22,8 @@ from .crf import Adam, Chains, observed_transitions
 
 #: Expected number of documents of each language that the model is fitted to, chosen by a hash of their ids.
 SAMPLE = 250
-#: Words that fitting looks at, at most: whole lines, in an order given by a seed.
-TRAIN_WORDS = 60_000
+#: Words of each language that fitting looks at, at most, unless ``train`` is told otherwise; and of one training line.
+TRAIN_WORDS, LINE_WORDS = 60_000, 200
 #: Hashed features, and words whose features' sum a worker remembers.
 BUCKETS, REMEMBERED = 1 << 15, 1 << 18
 _ROUNDS, _RATE, _RIDGE = 60, 0.1, 0.02
@@ -72,16 +72,25 @@ class Emissions(dict):
         return self.table[at]
 
 
-def fit(lines: list[tuple[int, list[str]]], languages: int) -> dict[str, np.ndarray]:
-    """Weights from lines of known language; some get a stretch of another line put in, so that transitions are learned."""
+def fit(lines: list[tuple[int, list[str]]], languages: int, words_per_language: int = TRAIN_WORDS) -> dict[str, np.ndarray]:
+    """Weights from lines of known language; some get a stretch of another line put in, so that transitions are learned.
+
+    Lines are cut into parts of ``LINE_WORDS`` words and drawn in an order given by a seed, until each language
+    has ``words_per_language`` words or no more lines.
+    """
     weights = {"emission": np.zeros((BUCKETS, languages)), "transition": np.zeros((languages, languages))}
     if not lines:
         return weights
+    lines = [(label, line[k : k + LINE_WORDS]) for label, line in lines for k in range(0, len(line), LINE_WORDS)]
     rng = np.random.default_rng(7)
+    drawn = [0] * languages
     words, labels, lengths = [], [], []
     order = rng.permutation(len(lines))
     for k, at in enumerate(order):
         label, own = lines[at]
+        if drawn[label] >= words_per_language:
+            continue
+        drawn[label] += len(own)
         tags = [label] * len(own)
         if rng.random() < _SWITCHED:
             other, guest = lines[order[rng.integers(len(order))]]
@@ -90,8 +99,6 @@ def fit(lines: list[tuple[int, list[str]]], languages: int) -> dict[str, np.ndar
         words += own
         labels += tags
         lengths.append(len(own))
-        if len(words) >= TRAIN_WORDS:
-            break
     lexicon = {w: i for i, w in enumerate(dict.fromkeys(words))}
     features = [word_features(w) for w in lexicon]
     starts = np.r_[0, np.cumsum([len(f) for f in features])]
@@ -111,10 +118,10 @@ def fit(lines: list[tuple[int, list[str]]], languages: int) -> dict[str, np.ndar
     return weights
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], dict[str, np.ndarray]]:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words_per_language: int = TRAIN_WORDS) -> tuple[list[str], dict[str, np.ndarray]]:
     """The languages and weights, fitted to about ``sample`` documents of each language outside the held-out fold.
 
-    Rows without id, text or language are ignored. Two passes: languages are counted, then the rows whose
+    Of these, fitting looks at ``words_per_language`` words of each language at most, drawn line by line. Rows without id, text or language are ignored. Two passes: languages are counted, then the rows whose
     hashed id falls under the language's share come to the driver.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
@@ -127,7 +134,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     for lang, n in counts.items():
         part = part | ((F.col("_lang") == lang) & (hashed < int((1 << 30) * min(1.0, sample / n))))
     rows = sorted((r["_lang"], str(r["_id"]), r["_text"] or "") for r in usable.filter(part).collect())
-    return languages, fit([(languages.index(lang), words) for lang, _, text in rows for words in line_words(text)], len(languages))
+    return languages, fit([(languages.index(lang), words) for lang, _, text in rows for words in line_words(text)], len(languages), words_per_language)
 
 
 def identify(docs: DataFrame, languages: list[str], weights: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

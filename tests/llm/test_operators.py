@@ -311,6 +311,19 @@ def test_language_on_held_out_rows(spark, sf_dir):
     assert lang_crf.identify(mixed, languages, weights).first().lang_pred == "en"
 
 
+def test_a_long_line_does_not_use_up_the_words_of_other_languages():
+    rng = random.Random(2)
+    a, b = (["".join(rng.choice(x) for _ in range(6)) for _ in range(300)] for x in ("abcde", "vwxyz"))
+    lines = [(0, a * 300), *((1, b[k : k + 10]) for k in range(0, 300, 10))]
+    for own in (lines, [(1 - k, words) for k, words in lines]):  # the long line in either place
+        weights = lang_crf.fit(own, 2)
+        scores = lang_crf.Emissions(weights["emission"]).of(a[:50] + b[:50])
+        first = own[0][0]
+        assert (scores[:50].argmax(axis=1) == first).all() and (scores[50:].argmax(axis=1) == 1 - first).all()
+    few = lang_crf.fit([(0, a), (1, b)], 2, words_per_language=10)
+    assert not np.array_equal(few["emission"], lang_crf.fit([(0, a), (1, b)], 2)["emission"])
+
+
 def test_language_of_odd_rows(docs, empty, corpus):
     languages, weights = lang_crf.train(docs)
     rows = lang_crf.identify(docs, languages, weights).collect()
