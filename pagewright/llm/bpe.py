@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose encoding a worker remembers; the memory is emptied when it is full.
@@ -314,7 +316,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
         decimal = Remembering(str)
-        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+        for batch in sliced(batches, 1 << 18):
             out: dict[str, list] = {n: [] for n in names[1:]}
             for text in batch.column(1):
                 text = text.as_py() or ""
@@ -346,7 +348,7 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.load(path)
-        for batch in batches:
+        for batch in sliced(batches):
             size, tokens, fits = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""

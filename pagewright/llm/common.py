@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts may be long, so a batch must stay a few MB, not 10,000 rows.
-BATCH_ROWS = 512
+#: Bytes of Arrow data that an operator works on at a time, about; a longer row is worked on alone.
+SLICE = 2 << 20
 #: Every fold of the learned operators: rows whose crc32(id as text) modulo this is 0 are held out.
 FOLDS = 5
 
@@ -28,14 +29,54 @@ _ALNUM = bytes(
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark so that any store works."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of about ``limit`` bytes, one row at least, whatever the size of the batches that come."""
+    for batch in batches:
+        n = batch.num_rows
+        if batch.nbytes <= limit:
+            if n:
+                yield batch
+            continue
+        size = np.zeros(n, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1])
+            elif pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                size += np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1])
+            else:
+                size += column.nbytes // n + 1
+        part = np.cumsum(size) // limit
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for a, b in zip(cuts, np.r_[cuts[1:], n], strict=True):
+            yield batch.slice(int(a), int(b - a))
+
+
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``frame``."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where none is configured (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that is an error, as
+    a folder of one machine would lose what the others write.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/pagewright-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -93,41 +134,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class PolyHash:
-    """Prefix polynomial hashes of one byte buffer modulo 2**64, base odd.
+    """Prefix polynomial hashes of one byte buffer modulo two primes of 31 bits, the bases given by a seed.
 
-    ``span(i, n)`` is the hash of the ``n`` bytes that start at ``i``, independent of ``i``; both may be
-    arrays. The prefix sums are of ``byte * base**position``, so a span is one subtraction and one
-    multiplication with the inverse power. Bytes are mapped through a random table first, which takes
-    away the structured inputs on which a power-of-two modulus is weak; equal hashes are still verified
-    against the bytes wherever a result depends on them.
+    ``span(i, n)`` is the hash (62 bits) of the ``n`` bytes that start at ``i``, independent of ``i``; both
+    may be arrays. The prefix sums are of ``(byte + 1) * base**position``, so a span is one subtraction and one
+    multiplication with the inverse power; all products fit 64 bits. Different strings of n bytes share a
+    hash for at most n bases in 2**31 of either prime; what a result depends on is verified against the bytes.
     """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    PRIMES = (2**31 - 1, 2**31 - 19)
+    _powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 1) -> None:
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) & MASK64
         self.n = len(data)
-        power, inverse = self._table(base, self.n + 1)
-        codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95 + 2 * seed))
-        self.prefix = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(codes[data] * power[: self.n], out=self.prefix[1:])
-        self.inverse = inverse
+        codes = data.astype(np.uint64) + np.uint64(1)
+        self.sides = []
+        for k, prime in enumerate(self.PRIMES):
+            base = int(mix64(np.array([2 * seed + k + 1], np.uint64))[0]) % (prime - 1000) + 500
+            power, inverse = self._table(base, prime, self.n + 1)
+            prefix = np.zeros(self.n + 1, np.uint64)
+            # A term is under 2**39, so sums of 2**25 of them fit; longer buffers carry the rest on.
+            step = 1 << 24
+            for at in range(0, self.n, step):
+                part = prefix[at + 1 : at + 1 + step]
+                np.cumsum(codes[at : at + step] * power[at : min(at + step, self.n)], out=part)
+                part += prefix[at]
+                part %= np.uint64(prime)
+            self.sides.append((np.uint64(prime), prefix, inverse))
 
     @classmethod
-    def _table(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(base)
+    def _table(cls, base: int, prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        have = cls._powers.get((base, prime))
         if have is None or len(have[0]) < n:
             size = 1 << max(16, (n - 1).bit_length())
             grown = []
-            for factor in (base, pow(base, -1, 1 << 64)):
-                out = np.full(size, factor, np.uint64)
-                out[0] = 1
-                grown.append(np.multiply.accumulate(out))
-            have = cls._powers[base] = tuple(grown)
+            for factor in (base, pow(base, -1, prime)):
+                out, made = np.ones(size, np.uint64), 1
+                while made < size:
+                    out[made : 2 * made] = out[:made] * np.uint64(pow(factor, made, prime)) % np.uint64(prime)
+                    made *= 2
+                grown.append(out)
+            have = cls._powers[base, prime] = tuple(grown)
         return have
 
     def span(self, start, n):
-        return (self.prefix[start + n] - self.prefix[start]) * self.inverse[start]
+        high, low = ((prefix[start + n] + prime - prefix[start]) * inverse[start] % prime for prime, prefix, inverse in self.sides)
+        return high << np.uint64(31) | low
 
 
 def in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -136,73 +188,79 @@ def in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+#: Bytes of the bitmaps that Spark's bitmap functions make.
+_BITMAP = 4096
+
+
 def merged_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     """A bitmap with a bit for each 64-bit value of the only column (bigint, or binary: packed values).
 
-    ``bits`` is a power of two. Executors merge partial bitmaps; one bitmap of that fixed size comes back,
-    whatever the number of rows. A value may share a bit, so a hit is a maybe and a miss is certain.
+    ``bits`` is a power of two. The bitmap is made in parts of 4 KB, grouped by their place with partial
+    aggregates in all tasks; one bitmap of that fixed size comes back, whatever the number of rows. A value
+    may share a bit, so a hit is a maybe and a miss is certain.
     """
     if len(rows.columns) != 1:
         raise ValueError("a bitmap is made of one column")
-    packed = rows.schema[0].dataType.typeName() == "binary"
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits >> 3, np.uint8)
-        some = False
-        for batch in batches:
-            some = True
-            column = batch.column(0)
-            parts = (np.frombuffer(x.as_buffer(), np.uint64) for x in column) if packed else [column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)]
-            for values in parts:
-                at = np.unique(values & np.uint64(bits - 1))
-                if len(at):
-                    byte = (at >> np.uint64(3)).astype(np.int64)
-                    first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
-                    out[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint64(7)).astype(np.uint8), first)
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits >> 3, np.uint8)
-        for batch in batches:
-            for x in batch.column(0):
-                out |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
-
-    partial = rows.mapInArrow(fill, "bits binary")
-    whole = partial.coalesce(8).mapInArrow(merge, "bits binary").repartition(1).mapInArrow(merge, "bits binary").collect()
-    out = np.zeros(bits >> 3, np.uint8)
-    for (part,) in whole:
-        out |= np.frombuffer(part, np.uint8)
-    return out
+    column = rows.columns[0]
+    if rows.schema[0].dataType.typeName() == "binary":
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(max(bits >> 3, _BITMAP), np.uint8)
+            for batch in batches:
+                for values in (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0) if x.is_valid):
+                    at = np.unique(values & np.uint64(bits - 1))
+                    if len(at):
+                        byte = (at >> np.uint64(3)).astype(np.int64)
+                        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+                        out[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & np.uint64(7)).astype(np.uint8), first)
+            parts = out.reshape(-1, _BITMAP)
+            some = np.flatnonzero(parts.any(axis=1))
+            for at in range(0, len(some), 256):
+                chosen = some[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(chosen + 1, pa.int64()), pa.array([parts[k].tobytes() for k in chosen], pa.binary())], ["place", "part"])
+
+        merged = rows.mapInArrow(fill, "place bigint, part binary").groupBy("place").agg(F.bitmap_or_agg("part").alias("part"))
+    else:
+        at = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+        merged = rows.groupBy(F.bitmap_bucket_number(at).alias("place")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("part"))
+    out = np.zeros(max(bits >> 3, _BITMAP), np.uint8)
+    for place, part in merged.filter("place is not null").collect():
+        out[(place - 1) * _BITMAP : place * _BITMAP] |= np.frombuffer(part, np.uint8)
+    return out[: bits >> 3]
 
 
-def only(bitmap, wanted: bool):
-    """A batch filter: keeps the rows whose first column (bigint) is, or is not, in a broadcast bitmap."""
+def maybe_in(keys: DataFrame):
+    """From a bigint column to whether a value may be in ``keys`` (one bigint column), by a broadcast bitmap of 16 MB at most.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bitmap.value) == wanted))
+    Only the key goes to Python and back; the rest of a row stays in the JVM. A miss is certain, so it tells
+    most rows apart without a shuffle.
+    """
+    bits = 1 << min(27, max(16, (16 * keys.count()).bit_length()))
+    bitmap = keys.sparkSession.sparkContext.broadcast(merged_bitmap(keys, bits))
 
-    return run
+    def hit(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(x.to_numpy(np.int64), bitmap.value))
 
+    return F.pandas_udf(hit, "boolean")
 
-def maybe_in(keys: DataFrame):
-    """A broadcast bitmap of a bigint column, of at most 16 MB; it tells most rows apart without a shuffle."""
-    bits = 1 << min(27, max(16, (16 * keys.count()).bit_length()))
-    return keys.sparkSession.sparkContext.broadcast(merged_bitmap(keys, bits))
+
+def content_key(*columns: Column) -> Column:
+    """128 bits of hashes of the columns, nulls told from empty values: what rows are known by across passes."""
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(F.lit(1), *marked).alias("a"), F.xxhash64(F.lit(2), *marked).alias("b"))
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All columns after ``_pw_key``, a 64-bit hash of id and text: repeated rows share it."""
-    return docs.select(F.xxhash64(id_col, text_col).alias("_pw_key"), *(F.col(c) for c in docs.columns))
+def with_key(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """All columns after a key (see ``content_key``) of the named ones, and the key's name; repeated rows share it."""
+    (key,) = free_names(docs, "_pw_key")
+    return docs.select(content_key(*(F.col(c) for c in columns)).alias(key), *(F.col(c) for c in docs.columns)), key
 
 
-def without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (see ``with_key``) whose ``_pw_key`` is not in ``keys``.
+def without(keyed: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (see ``with_key``) whose key is not in ``keys`` (one column of that name).
 
     Only rows that the bitmap cannot clear are shuffled, so texts that stay travel nowhere.
     """
-    maybe = maybe_in(keys)
-    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(keys, "_pw_key", "left_anti")
-    return keyed.mapInArrow(only(maybe, False), keyed.schema).unionByName(near)
+    maybe = maybe_in(keys.select(F.col(key)["a"].alias("a")))
+    near = keyed.filter(maybe(F.col(key)["a"])).join(keys, key, "left_anti")
+    return keyed.filter(~maybe(F.col(key)["a"])).unionByName(near)

@@ -1,6 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments. A segment holds whole documents: for every term its postings (ascending
+The index is a table of segments. Terms are 64-bit hashes of words, so a false match needs words whose
+hashes collide at every place where the phrases differ. A segment holds whole documents: for every term its postings (ascending
 word positions, documents one after the other), so a phrase never leaves its segment and building the
 index shuffles nothing. Searching sends the test windows (a stated query set, in blocks of bounded size)
 to all segments. In a segment, a window with an absent term is done with at once; for the others the
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, with_key, without
+from .common import alnum_words, sliced, stash, unstash, with_key, without
 
 WINDOW = 13
 #: A document is contaminated if its hit words are at least one in so many.
@@ -256,8 +257,16 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     index = build_index(docs, id_col=id_col, text_col=text_col)
-    for block in _blocks(items, item_col, item_text_col):
-        index = mark(index, block)
+    blocks = _blocks(items, item_col, item_text_col)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        marked = mark(index, block)
+        if following is not None:  # blocks take turns: one broadcast and one stored index at a time
+            stored = stash(marked, "index")
+            unstash(index)
+            marked = stored
+        index, block = marked, following
     names = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +319,6 @@ def matches(index: DataFrame, items: DataFrame, *, slop: int = 0, item_col: str
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns but those of contaminated documents; cases as in ``contamination``."""
-    keyed = with_key(docs, id_col, text_col)
-    found = contamination(keyed, items, id_col="_pw_key", text_col=text_col).filter("contaminated").select("_pw_key").distinct()
-    return without(keyed, found).drop("_pw_key")
+    keyed, key = with_key(docs, id_col, text_col)
+    found = stash(contamination(keyed, items, id_col=key, text_col=text_col).filter("contaminated").select(key).distinct(), "contaminated")
+    return without(keyed, key, found).drop(key)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stash, with_key, without
+from .common import BLANKS, sliced, stash, with_key, without
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -80,7 +80,7 @@ def document_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = [id_col, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [rule_counts(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(6))], names)
 
@@ -123,8 +123,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def drop_rejected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """All rows and columns but those of rejected documents; cases as in ``quality_rules``."""
-    keyed = with_key(docs, id_col, text_col)
     # A text that appears under two hosts is judged by host, so the host is part of the key here.
-    keyed = keyed.withColumn("_pw_key", F.xxhash64("_pw_key", F.col(host_col)))
-    rejected = stash(quality_rules(keyed, id_col="_pw_key", text_col=text_col, host_col=host_col).filter("not kept").select("_pw_key").distinct(), "rejected")
-    return without(keyed, rejected).drop("_pw_key")
+    keyed, key = with_key(docs, id_col, text_col, host_col)
+    rejected = stash(quality_rules(keyed, id_col=key, text_col=text_col, host_col=host_col).filter("not kept").select(key).distinct(), "rejected")
+    return without(keyed, key, rejected).drop(key)

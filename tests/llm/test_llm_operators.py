@@ -224,8 +224,11 @@ def brute_suffix(rows):
 def test_suffix_dedup_equals_brute_force(monkeypatch, docs, corpus, empty):
     expected = brute_suffix(corpus)
     assert sum(r[2] for r in expected) > 0
-    for step in (1 << 19, 257):  # a small step cuts runs of windows apart
-        monkeypatch.setattr(suffix_dedup, "STEP", step)
+    for step, hot, part in ((1 << 19, 32, 4 << 20), (257, 32, 4 << 20), (1 << 19, 2, 4 << 20), (1 << 19, 2, 3000)):
+        monkeypatch.setattr(suffix_dedup, "STEP", step)  # a small step cuts runs of windows apart
+        monkeypatch.setattr(suffix_dedup, "PART", part)  # a small part leaves copies to be found between parts
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)  # few runs make an anchor hot, so that windows travel alone
+        monkeypatch.setattr(suffix_dedup, "HOT_ONE_IN", 1)
         assert sorted(tuple(r) for r in suffix_dedup.removal_digests(docs).collect()) == sorted(r[:5] for r in expected)
     cut = suffix_dedup.remove_repeats(docs)
     assert cut.columns == docs.columns
