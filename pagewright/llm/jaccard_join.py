@@ -19,13 +19,18 @@ Between classes:
   is indexed at its own level and the next.
 * Tokens found once only come first in the order and are not indexed: they meet nobody, and a set with more
   than a fifth of them has no partner at all.
-* Sets that share an index entry are candidates. Within a group, each member is first compared with one
-  centre, then with the member that has the fewest tokens of its own (a text that the others were made from);
-  only members that then still lie in different components, and whose tokens found elsewhere are enough for a
-  link, are compared with one another. Every link is verified on the whole sets.
+* Sets that share an index entry are candidates. The lists with one least member are one group, its
+  neighbourhood; so a pair that many lists hold is met in few groups. Members are compared with the first
+  member, then with the one that has the fewest tokens of its own (a text that the others were made from): as
+  many pairs as members. Only members that then still lie in different components, and whose tokens found
+  elsewhere are enough for a link, are compared with one another, in blocks: the members of the group's
+  largest component and all others are cut into blocks of bounded size, and each pair of blocks that can hold
+  two components is one task, which counts shared tokens as a matrix product and returns a forest of links,
+  never the pairs. Every link is verified on the whole sets.
 
 Sets of three tokens or fewer link with no different set. Index entries travel packed, dealt by hash into
-as many buckets as the data needs, so none is large.
+as many buckets as the data needs, so none is large. Sets are known by 64 bits of a salted hash; another 64
+tell whether two sets share them, and if so all are made again with the next salt.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, maybe_in, merged_bitmap, mix64, only, plain_words, stash, unstash, with_key, without
+from .common import free_names, in_bitmap, maybe_in, merged_bitmap, mix64, plain_words, sliced, stash, unstash, with_key, without
 from .components import connected_components
 
 SHINGLE = 5
@@ -52,6 +57,8 @@ CLASS_BITS = 1 << 27
 CLASSES = (1, 16, 256)
 #: Postings that are packed at a time, and how many a bucket should hold about.
 CHUNK, BUCKET = 1 << 17, 1 << 19
+#: Tokens of a block of members, about, each member counting as ``LEAST`` at least; and from which on a token is counted densely.
+BLOCK, LEAST, DENSE = 1 << 18, 256, 24
 _K = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 #: Sizes at which the levels begin.
 _LEVELS = [1]
@@ -75,9 +82,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mix64(sums))
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """Identity of a set: 64 bits of a cryptographic hash of its tokens."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(tokens: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Identity of a set: 64 bits of a salted cryptographic hash of its tokens, and 64 more to tell whether two sets share them."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def frequent_above(n_tokens: int) -> int:
@@ -121,13 +129,13 @@ def combination_prefix(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+def _distinct_sets(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each set of a task once, whatever the number of its copies there."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0):
             tokens = shingle_set(text.as_py())
-            if len(tokens) and (k := set_id(tokens)) not in seen:
+            if len(tokens) and (k := set_id(tokens, salt)[0]) not in seen:
                 seen.add(k)
                 yield k, tokens
 
@@ -166,11 +174,11 @@ def _address(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (tokens >> np.uint64(32)) * np.uint64(buckets) | tokens & np.uint64(buckets - 1)
 
 
-def _counted(texts: DataFrame, buckets: int) -> DataFrame:
+def _counted(texts: DataFrame, buckets: int, salt: int) -> DataFrame:
     """Per bucket, packed upper halves of the tokens: those found once in a chunk, and (half, count) of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _ in _chunks((k, t) for k, t in _distinct_sets(batches) if len(t) > 3):
+        for key, _ in _chunks((k, t) for k, t in _distinct_sets(batches, salt) if len(t) > 3):
             bucket = key & np.uint64(buckets - 1)
             values, counts = np.unique(bucket << np.uint64(32) | key >> np.uint64(32), return_counts=True)
             cuts = np.searchsorted(values, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
@@ -205,10 +213,10 @@ def _frequent(packed: DataFrame, buckets: int, limits: list[int]) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "above bigint, n bigint, ids binary")
 
 
-def _ranks(texts: DataFrame, n_tokens: int, buckets: int):
+def _ranks(texts: DataFrame, n_tokens: int, buckets: int, salt: int):
     """The broadcast bitmaps: tokens found twice or more, then the classes of frequent tokens from the least limit on."""
     limits = [1, *((frequent_above(n_tokens) + 1) * x - 1 for x in CLASSES)]
-    found = stash(_frequent(_counted(texts, buckets), buckets, sorted(set(limits))), "frequent")
+    found = stash(_frequent(_counted(texts, buckets, salt), buckets, sorted(set(limits))), "frequent")
     n = {r["above"]: r["n"] for r in found.groupBy("above").agg(F.sum("n").alias("n")).collect()}
     size = lambda x: min(CLASS_BITS, 1 << max(16, (8 * n.get(x, 0)).bit_length()))
     bitmaps = {x: merged_bitmap(found.filter(F.col("above") == x).select("ids"), size(x)) for x in set(limits)}
@@ -227,11 +235,8 @@ def _rank(tokens: np.ndarray, buckets: int, bitmaps: list[np.ndarray]) -> np.nda
     return rank
 
 
-def _groups(packed: DataFrame) -> DataFrame:
-    """Per bucket, the distinct member lists of the entries that two sets or more have.
-
-    ``list_id`` and ``ids`` (packed, the least first); long lists are in several rows, each with the first id.
-    """
+def _neighbourhoods(packed: DataFrame) -> DataFrame:
+    """``centre``, ``id``: the members of all lists of two sets or more that have the centre as their least member, itself included."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["tokens"]])
@@ -239,19 +244,24 @@ def _groups(packed: DataFrame) -> DataFrame:
         del pdf
         order = np.lexsort((who, key))
         key, who = key[order], who[order]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])]
-        key, who = key[fresh], who[fresh]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        lists: dict[bytes, bytes] = {}
-        for a, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            raw = who[a : a + n].tobytes()
-            lists[hashlib.blake2b(raw, digest_size=8).digest()] = raw
-        step = 1 << 15
-        rows = [(int.from_bytes(k, "little", signed=True), (raw[:8] if at else b"") + raw[at : at + step]) for k, raw in lists.items() for at in range(0, len(raw), step)]
-        return pd.DataFrame({"list_id": np.array([r[0] for r in rows], np.int64), "ids": [r[1] for r in rows]})
+        centre = np.repeat(who[starts], sizes)
+        some = np.repeat(sizes > 1, sizes)
+        centre, who = centre[some], who[some]
+        order = np.lexsort((who, centre))
+        centre, who = centre[order], who[order]
+        fresh = np.r_[True, (centre[1:] != centre[:-1]) | (who[1:] != who[:-1])] if len(who) else np.empty(0, bool)
+        centre, who = centre[fresh], who[fresh]
+        step = 1 << 12
+        return pd.DataFrame({"centres": [centre[at : at + step].tobytes() for at in range(0, len(who), step)], "ids": [who[at : at + step].tobytes() for at in range(0, len(who), step)]})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in row], ["centre", "id"])
 
-    return packed.groupBy("bucket").applyInPandas(run, "list_id bigint, ids binary")
+    return packed.groupBy("bucket").applyInPandas(run, "centres binary, ids binary").mapInArrow(unpacked, "centre bigint, id bigint").distinct()
 
 
 def _links_of(shared: int, x: int, y: int) -> bool:
@@ -296,37 +306,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _sifted(_sifted(pairs, sets, "coarse"), sets, "tokens")
 
 
-def _star_pairs(groups: DataFrame) -> DataFrame:
-    """One pair (a, b) per member: b with a, the least first id among the lists that it is in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column(0)]
-            if lists:
-                a, b = np.concatenate([np.repeat(x[:1], len(x)) for x in lists]), np.concatenate(lists)
-                order = np.lexsort((a, b))
-                a, b = a[order], b[order]
-                keep = np.r_[True, b[1:] != b[:-1]] & (a != b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
-
-    return groups.select("ids").mapInArrow(run, "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
-
-def _members(groups: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, raw in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k.as_py()), pa.int64()), pa.array(ids, pa.int64())], ["list_id", "id"])
-
-    return groups.select("list_id", "ids").mapInArrow(run, "list_id bigint, id bigint").distinct()
+def _star_pairs(near: DataFrame) -> DataFrame:
+    """One pair (a, b) per member: b with a, the least centre near it."""
+    return near.filter("centre <> id").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their ``root``, of the lists that hold several components."""
-    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = rooted.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list_id")
-    return rooted.join(split, "list_id", "left_semi")
+def _rooted(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their ``root``, of the neighbourhoods that hold several components and could link all the same."""
+    rooted = near.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    able = rooted.filter(OF * (F.col("n") - F.col("own")) >= SHARE * F.col("n"))
+    split = able.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("centre")
+    return able.join(split, "centre", "left_semi")
 
 
 def _may_link(a: str, b: str):
@@ -335,67 +325,148 @@ def _may_link(a: str, b: str):
     return OF * shared >= SHARE * (na + nb - shared)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _centre_pairs(apart: DataFrame) -> DataFrame:
+    """Per neighbourhood, each member of another component with its centre, and with the member that has the fewest tokens of its own."""
+    rows = apart.select("centre", F.struct("id", "root", "n", "own").alias("y"))
+    best = apart.groupBy("centre").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "root", "n", "own")).alias("x"))
+    first = rows.filter(F.col("y")["id"] == F.col("centre")).select("centre", F.col("y").alias("x"))
+    centres = best.select("centre", F.struct(*(F.col("x")[c].alias(c) for c in ("id", "root", "n", "own"))).alias("x")).unionByName(first)
+    pairs = rows.join(centres, "centre").filter((F.col("x")["root"] != F.col("y")["root"]) & _may_link("x", "y"))
     ids = F.col("x")["id"], F.col("y")["id"]
     return pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
 
 
-def _centre_pairs(apart: DataFrame) -> DataFrame:
-    """Per list, each member of another component with the member that has the fewest tokens of its own."""
-    rows = apart.select("list_id", F.struct("id", "root", "n", "own").alias("y"))
-    centres = apart.groupBy("list_id").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "root", "n", "own")).alias("x"))
-    return _ordered(rows.join(centres, "list_id").filter((F.col("x")["root"] != F.col("y")["root"]) & _may_link("x", "y")))
+def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of shared tokens of all pairs of sets.
 
+    Tokens of few sets add to their pairs one by one; those of many are columns of 0 and 1, multiplied.
+    """
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(t) for t in sets])
+    token = np.concatenate(sets) if m else np.empty(0, np.uint64)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    times = np.diff(np.r_[starts, len(token)])
+    column = np.repeat(np.arange(len(starts)), times)
+    often = np.repeat(times, times)
+    out = np.zeros((m, m), np.float32)
+    many = often > DENSE
+    who, which = owner[many], np.unique(column[many], return_inverse=True)[1]
+    for at in range(0, int(which.max()) + 1 if len(which) else 0, 4096):
+        inside = (which >= at) & (which < at + 4096)
+        marks = np.zeros((m, min(4096, int(which.max()) + 1 - at)), np.float32)
+        marks[who[inside], which[inside] - at] = 1
+        out += marks @ marks.T
+    few, where = owner[~many], column[~many]
+    flat = np.zeros(m * m, np.int64)
+    for back in range(1, DENSE):
+        same = where[back:] == where[:-back]
+        if not same.any():
+            break
+        flat += np.bincount(few[back:][same] * m + few[:-back][same], minlength=m * m)
+    rest = flat.reshape(m, m)
+    return np.rint(out).astype(np.int64) + rest + rest.T
+
+
+def forest_of_links(sets: list[np.ndarray], roots: np.ndarray, outside: np.ndarray, inside_too: bool) -> list[tuple[int, int]]:
+    """Places of pairs that link and make, with the given components, the same components as all links between them.
+
+    Compared are the sets that are ``outside`` with those that are not and, if ``inside_too``, with one another.
+    """
+    n = np.array([len(t) for t in sets], np.int64)
+    shared = shared_tokens(sets)
+    link = (OF * shared >= SHARE * (n[:, None] + n[None, :] - shared)) & (roots[:, None] != roots[None, :])
+    link &= outside[:, None] & (~outside[None, :] | inside_too)
+    x, y = np.nonzero(link)
+    if not len(x):
+        return []
+    root = np.unique(roots, return_inverse=True)[1]
+    lo, hi = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+    _, one = np.unique(lo * (int(root.max()) + 1) + hi, return_index=True)
+    up = list(range(int(root.max()) + 1))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    out = []
+    for k in one.tolist():
+        a, b = top(int(lo[k])), top(int(hi[k]))
+        if a != b:
+            up[b] = a
+            out.append((int(x[k]), int(y[k])))
+    return out
+
+
+def _block_links(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of each neighbourhood as all links between its members would.
+
+    The members of its largest component are cut into blocks by hash, the others too. A block of others meets
+    every block of the former and every other block of others, each pair of blocks in a task of its own; pairs within the
+    largest component are never looked at, nor are a neighbourhood's members ever together in one task unless they are few.
+    """
+    weight = F.greatest(F.col("n"), F.lit(LEAST))
+    parts = apart.groupBy("centre", "root").agg(F.count("*").alias("m"), F.sum(weight).alias("t"))
+    largest = parts.groupBy("centre").agg(F.max(F.struct("m", "root", "t")).alias("top"), F.sum("t").alias("t"))
+    blocks = lambda t: F.ceil(t / BLOCK).cast("int")
+    plan = largest.select("centre", F.col("top")["root"].alias("top"), blocks(F.col("top")["t"]).alias("ins"), blocks(F.col("t") - F.col("top")["t"]).alias("outs"))
+    rows = apart.select("centre", "id", "root").join(plan, "centre").withColumn("outside", F.col("root") != F.col("top"))
+    own = F.when(F.col("outside"), F.col("ins") + F.pmod(F.xxhash64("id"), "outs")).otherwise(F.pmod(F.xxhash64("id"), "ins")).cast("int")
+    met = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("ins") + F.col("outs") - 1)).otherwise(F.sequence("ins", F.col("ins") + F.col("outs") - 1))
+    dealt = rows.withColumn("block", own).withColumn("other", F.explode(met)).filter((F.col("block") != F.col("other")))
+    keyed = dealt.select("id", "centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "root", (F.col("block") > F.col("other")).alias("second"))
 
-def _cross_pairs(apart: DataFrame) -> DataFrame:
-    """Per list, the members of different components that may link."""
-    rows = apart.filter(OF * (F.col("n") - F.col("own")) >= SHARE * F.col("n")).select("list_id", F.struct("id", "root", "n", "own").alias("x"))
-    other = rows.withColumnRenamed("x", "y")
-    return _ordered(rows.join(other, "list_id").filter((F.col("x")["root"] < F.col("y")["root"]) & _may_link("x", "y")))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy(np.int64)
+        found = forest_of_links([np.frombuffer(t, np.uint64) for t in pdf["tokens"]], pdf["root"].to_numpy(np.int64), pdf["second"].to_numpy(bool), bool(pdf["lo"].iloc[0] == 0))
+        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
 
+    whole = keyed.join(sets.select(F.col("set_id").alias("id"), "tokens"), "id")
+    return whole.groupBy("centre", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
 
-def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``set_id`` (null for an empty set) per input row."""
+
+def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salt: int = 0) -> DataFrame:
+    """``id_col``, ``n_shingles``, ``set_id`` and ``set_check`` (null for an empty set) per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_shingles", "set_id", "set_check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids = [], []
-            for text in batch.column(1):
-                tokens = shingle_set(text.as_py())
-                n.append(len(tokens))
-                ids.append(set_id(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], [id_col, "n_shingles", "set_id"])
+        for batch in sliced(batches):
+            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            ids = [set_id(t, salt) if len(t) else (None, None) for t in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), *(pa.array([x[k] for x in ids], pa.int64()) for k in (0, 1))], names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, set_id bigint")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, set_id bigint, set_check bigint")
 
 
-def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
-    """Component roots of the sets that have links: ``id``, ``root``."""
+def _links(texts: DataFrame, n_tokens: int, salt: int) -> DataFrame | None:
+    """Component roots of the sets that have links: ``id``, ``root``; stored."""
     buckets = 1 << max(4, (n_tokens // 4 // BUCKET).bit_length())
 
-    bitmaps = _ranks(texts, n_tokens, buckets)
+    bitmaps = _ranks(texts, n_tokens, buckets, salt)
 
     def indexed(batches):
-        for key, who in _chunks((k, combination_prefix(t, _rank(t, buckets, bitmaps.value))) for k, t in _distinct_sets(batches) if len(t) > 3):
+        for key, who in _chunks((k, combination_prefix(t, _rank(t, buckets, bitmaps.value))) for k, t in _distinct_sets(batches, salt) if len(t) > 3):
             yield _by_bucket(key, buckets, who)
 
-    found = stash(_groups(texts.mapInArrow(indexed, _PACKED)), "groups")
-    lists = found.distinct()
-    pairs = stash(_star_pairs(lists), "pairs")
+    near = stash(_neighbourhoods(texts.mapInArrow(indexed, _PACKED)), "near")
+    pairs = stash(_star_pairs(near), "pairs")
     n_pairs = pairs.count()
     if not n_pairs:
-        unstash(pairs, found)
+        unstash(pairs, near)
         return None
     bits = 1 << min(27, max(20, (16 * n_pairs).bit_length()))
-    candidates = texts.sparkSession.sparkContext.broadcast(merged_bitmap(lists.select("ids"), bits))
+    candidates = texts.sparkSession.sparkContext.broadcast(merged_bitmap(near.select("id"), bits))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits - 1
         ids, sets, size = [], [], 0
         own = lambda t: int((_rank(t, buckets, bitmaps.value) < 0).sum())
         row = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([(t >> np.uint64(48)).astype(np.uint16).tobytes() for t in sets], pa.binary()), pa.array([len(t) for t in sets], pa.int64()), pa.array([own(t) for t in sets], pa.int64())], ["set_id", "tokens", "coarse", "n", "own"])
-        for k, tokens in _distinct_sets(batches):
+        for k, tokens in _distinct_sets(batches, salt):
             if candidates.value[(k & mask) >> 3] >> (k & 7) & 1:
                 ids.append(k)
                 sets.append(tokens)
@@ -409,31 +480,46 @@ def _links(texts: DataFrame, n_tokens: int) -> DataFrame | None:
     sets = stash(texts.mapInArrow(whole, "set_id bigint, tokens binary, coarse binary, n bigint, own bigint").dropDuplicates(["set_id"]), "sets")
     edges = stash(_verified(pairs, sets), "links")
     roots = stash(connected_components(edges), "roots")
-    members = stash(_members(lists).join(sets.select(F.col("set_id").alias("id"), "n", "own"), "id"), "members")
-    unstash(found)
-    for centred in (True, False):
-        apart = _apart(members, roots)
-        rest = stash((_centre_pairs(apart) if centred else _cross_pairs(apart)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        extra = stash(_verified(rest, sets), "links")
+    unstash(edges)
+    members = stash(near.join(sets.select(F.col("set_id").alias("id"), "n", "own"), "id"), "members")
+    unstash(near)
+    for last in (False, True):
+        apart = stash(_rooted(members, roots), "apart")
+        if last:
+            extra = stash(_block_links(apart, sets), "links")
+        else:
+            rest = stash(_centre_pairs(apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            extra = stash(_verified(rest, sets), "links")
+            unstash(rest)
         if not extra.isEmpty():
             # Components are kept by their stars, so only these and the new links are contracted again.
             star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
             again = stash(connected_components(star.unionByName(extra)), "roots")
             unstash(roots)
             roots = again
-        unstash(rest, extra)
-    unstash(pairs, sets, edges, members)
+        unstash(extra, apart)
+    unstash(pairs, sets, members)
     return roots
 
 
-def _classes(own: DataFrame, texts: DataFrame, first: str) -> DataFrame:
-    """``set_id``, ``root`` (names the component) and ``least`` (the component's least value of ``first``) of each distinct set."""
-    n_tokens = own.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = own.filter("set_id is not null").groupBy("set_id").agg(F.min(F.col(first)).alias("_first"))
-    roots = _links(texts, n_tokens)
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """``document_sets``, its classes (``set_id``, ``_first``: the least id, ``n``), both stored, and the salt with which no two sets share an id."""
+    for salt in range(16):
+        own = stash(document_sets(docs, id_col=id_col, text_col=text_col, salt=salt), "own")
+        classes = stash(own.filter("set_id is not null").groupBy("set_id").agg(F.min(F.col(id_col)).alias("_first"), F.max("n_shingles").alias("n"), F.min("set_check").alias("lo"), F.max("set_check").alias("hi")), "classes")
+        if classes.filter("lo <> hi").isEmpty():
+            return own, classes, salt
+        unstash(own, classes)
+    raise RuntimeError("different sets share an id under every salt")
+
+
+def _classes(classes: DataFrame, texts: DataFrame, salt: int) -> DataFrame:
+    """``set_id``, ``root`` (names the component) and ``least`` (the component's least ``_first``) of each distinct set."""
+    n_tokens = classes.agg(F.sum("n")).first()[0] or 0
+    roots = _links(texts, n_tokens, salt)
     if roots is None:
         return classes.select("set_id", F.col("set_id").alias("root"), F.col("_first").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = classes.select("set_id", "_first").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     return rooted.join(rooted.groupBy("root").agg(F.min("_first").alias("least")), "root").select("set_id", "root", "least")
 
 
@@ -443,11 +529,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     A null or empty text, or one without words, has an empty set, links with nothing and is its own
     component. Rows with equal sets are one class; repeated rows are, too. A row with a null id takes part
     and gets its component's least non-null id. Other columns are ignored; an empty table gives no rows.
-    Classes are told apart by 64-bit hashes.
     """
-    own = stash(document_sets(docs, id_col=id_col, text_col=text_col), "sets")
-    named = _classes(own, docs.select(F.col(text_col)), id_col).select("set_id", F.col("least").alias("_least"))
-    return own.join(named, "set_id", "left").select(F.col(id_col), "n_shingles", F.coalesce("_least", F.col(id_col)).alias("component_id"))
+    own, classes, salt = _identified(docs, id_col, text_col)
+    (least,) = free_names(own, "_least")
+    named = stash(_classes(classes, docs.select(F.col(text_col)), salt).select("set_id", F.col("least").alias(least)), "named")
+    unstash(classes)
+    return own.join(named, "set_id", "left").select(F.col(id_col), "n_shingles", F.coalesce(least, F.col(id_col)).alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,14 +542,18 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Rows without words stay all; cases otherwise as in ``jaccard_components``. Texts that stay are not shuffled.
     """
-    keyed = with_key(docs, id_col, text_col)
-    own = stash(document_sets(keyed, id_col="_pw_key", text_col=text_col).join(keyed.select("_pw_key", F.col(id_col).alias("_id")).distinct(), "_pw_key"), "sets")
-    classes = _classes(own, docs.select(F.col(text_col)), "_pw_key")
-    placed = stash(own.join(classes.select("set_id", "root"), "set_id").select("_pw_key", "_id", "root"), "placed")
-    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_pw_key")).alias("best"), F.count("*").alias("n")).select(F.col("best")["_pw_key"].alias("_pw_key"), "n")
-    dropped = placed.select("_pw_key").distinct().join(stays, "_pw_key", "left_anti")
-    again = placed.groupBy("_pw_key").count().filter("count > 1").select("_pw_key").join(stays, "_pw_key", "left_semi")
-    gone = stash(dropped.unionByName(again), "dropped")
-    twice = stash(again, "repeated")
-    some = keyed.mapInArrow(only(maybe_in(twice), True), keyed.schema).join(twice, "_pw_key", "left_semi").dropDuplicates(["_pw_key"])
-    return without(keyed, gone).unionByName(some).drop("_pw_key")
+    keyed, key = with_key(docs, id_col, text_col)
+    own, classes, salt = _identified(keyed, key, text_col)
+    rooted = _classes(classes, docs.select(F.col(text_col)), salt)
+    ids = keyed.select(F.col(key), F.col(id_col).alias("_id")).distinct()
+    placed = stash(own.select(F.col(key), "set_id").join(rooted.select("set_id", "root"), "set_id").join(ids, key).select(F.col(key).alias("_key"), "_id", "root"), "placed")
+    unstash(own, classes)
+    best = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_key"))["_key"].alias(key)
+    stays = placed.groupBy("root").agg(best).select(key)
+    rows = placed.groupBy(F.col("_key").alias(key)).agg(F.count("*").alias("n"))
+    marked = stash(rows.join(stays.withColumn("stays", F.lit(True)), key, "left").filter("n > 1 or stays is null").select(key, F.coalesce("stays", F.lit(False)).alias("again")), "dropped")
+    unstash(placed)
+    twice = marked.filter("again").select(key)
+    maybe = maybe_in(twice.select(F.col(key)["a"].alias("a")))
+    some = keyed.filter(maybe(F.col(key)["a"])).join(twice, key, "left_semi").dropDuplicates([key])
+    return without(keyed, key, marked.select(key)).unionByName(some).drop(key)
