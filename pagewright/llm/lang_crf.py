@@ -8,32 +8,32 @@ weighted by their lengths; the score is its share.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, sliced
 from .crf import Adam, Chains, observed_transitions
 
 #: Expected number of documents of each language that the model is fitted to, chosen by a hash of their ids.
 SAMPLE = 250
-#: Words of each language that fitting looks at, at most, unless ``train`` is told otherwise; and of one training line.
-TRAIN_WORDS, LINE_WORDS = 60_000, 200
+#: Words of each language that fitting looks at, at most, unless ``train`` is told otherwise; of one training line; and of one document.
+TRAIN_WORDS, LINE_WORDS, DOCUMENT_WORDS = 60_000, 200, 4_000
 #: Hashed features, and words whose features' sum a worker remembers.
 BUCKETS, REMEMBERED = 1 << 15, 1 << 18
 _ROUNDS, _RATE, _RIDGE = 60, 0.1, 0.02
 #: Share of the training lines into which a stretch of another language is put.
 _SWITCHED = 0.3
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def line_words(text: str | None) -> list[list[str]]:
-    """The words (runs of letters, lower case) of each line that has some."""
+    """The words (letters with the marks on them, lower case) of each line that has some."""
     return [w for line in (text or "").lower().split("\n") if (w := _WORD.findall(line))]
 
 
@@ -118,11 +118,13 @@ def fit(lines: list[tuple[int, list[str]]], languages: int, words_per_language:
     return weights
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words_per_language: int = TRAIN_WORDS) -> tuple[list[str], dict[str, np.ndarray]]:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words_per_language: int = TRAIN_WORDS, words_per_document: int = DOCUMENT_WORDS) -> tuple[list[str], dict[str, np.ndarray]]:
     """The languages and weights, fitted to about ``sample`` documents of each language outside the held-out fold.
 
-    Of these, fitting looks at ``words_per_language`` words of each language at most, drawn line by line. Rows without id, text or language are ignored. Two passes: languages are counted, then the rows whose
-    hashed id falls under the language's share come to the driver.
+    Of these, fitting looks at ``words_per_language`` words of each language at most, drawn line by line. Rows
+    without id, text or language are ignored. Two passes: languages are counted, then the rows whose hashed id falls
+    under the language's share are cut into lines of words by executors, and at most ``words_per_document`` words of each, in lines spread
+    evenly over it, come to the driver.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     counts = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
@@ -133,8 +135,19 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     part = F.lit(False)
     for lang, n in counts.items():
         part = part | ((F.col("_lang") == lang) & (hashed < int((1 << 30) * min(1.0, sample / n))))
-    rows = sorted((r["_lang"], str(r["_id"]), r["_text"] or "") for r in usable.filter(part).collect())
-    return languages, fit([(languages.index(lang), words) for lang, _, text in rows for words in line_words(text)], len(languages), words_per_language)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = []
+            for text in batch.column(2):
+                lines = [w[k : k + LINE_WORDS] for w in line_words(text.as_py()) for k in range(0, len(w), LINE_WORDS)]
+                spread = -(-sum(map(len, lines)) // words_per_document)
+                out.append([" ".join(w) for w in lines[:: max(1, spread)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["lang", "id", "lines"])
+
+    chosen = usable.filter(part).select(F.col("_lang").cast("string"), F.col("_id").cast("string"), "_text")
+    rows = sorted((r["lang"], r["id"], r["lines"]) for r in chosen.mapInArrow(words, "lang string, id string, lines array<string>").collect())
+    return languages, fit([(languages.index(lang), line.split(" ")) for lang, _, lines in rows for line in lines], len(languages), words_per_language)
 
 
 def identify(docs: DataFrame, languages: list[str], weights: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +165,7 @@ def identify(docs: DataFrame, languages: list[str], weights: dict[str, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = shared.value
         emissions = made[0] = made.get(0) or Emissions(model["emission"])
-        for batch in batches:
+        for batch in sliced(batches):
             lines = [line_words(t.as_py()) for t in batch.column(2)]
             words = [w for doc in lines for line in doc for w in line]
             lengths = np.array([len(line) for doc in lines for line in doc], np.int64)
