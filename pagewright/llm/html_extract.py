@@ -13,6 +13,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .common import sliced
 
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select option button object canvas math xmp noframes".split())
+#: Cut unseen: scripts, styles, form controls, and what no reader sees. Everything else goes through the trees.
+RAW = frozenset("script style title template iframe noframes textarea select option button".split())
+#: Unclosed ones of these take the rest of the page with them.
+_TO_THE_END = frozenset("script style title template iframe textarea".split())
 BLOCK = frozenset(
     "html body article main section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "form fieldset pre blockquote figure figcaption address details summary hr hgroup search dialog center menu".split()
+    "form fieldset pre blockquote figure figcaption address details summary hr hgroup search dialog center menu noscript".split()
 )
 #: An opening tag closes these open elements first, if nothing of the second group stands in between.
 _CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "tbody": ("thead tbody tr td th", {"table"}), "tfoot": ("tbody tr td th", {"table"})}
@@ -49,93 +54,140 @@ TOKEN_GROUPS = [
     set("article content main post entry story body text maincontent prose markdown".split()),
 ]
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S)
+_STOPS = re.compile("[>\"']")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _MARK = re.compile(r"\sdata-main(?=[\s=>]|$)")
 _TOKENS = re.compile(r"[a-z]+")
 
 
+class _Tags:
+    """The tags of a source in order, in time linear in it, however many tags never end."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, source.rfind(">")
+        self.stops: list[int] | None = None
+        self.unclosed: set[str] = set()
+
+    def _ends(self, at: int) -> bool:
+        """Whether a tag that begins at ``at`` ends: some ``>`` after it stands outside quotes.
+
+        For every quote or ``>`` it is noted, from the last to the first, whether reading on from it outside quotes meets an end.
+        """
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOPS.finditer(self.source)]
+            self.ending = [False] * (len(self.stops) + 1)
+            ahead: dict[str, int] = {}
+            for k in range(len(self.stops) - 1, -1, -1):
+                mark = self.source[self.stops[k]]
+                self.ending[k] = mark == ">" or (mark in ahead and self.ending[ahead[mark] + 1])
+                ahead[mark] = k
+        return self.ending[bisect_left(self.stops, at)]
+
+    def next(self, at: int) -> re.Match | None:
+        while (at := self.source.find("<", at)) >= 0:
+            if at > self.last and not self.source.startswith("<!--", at):
+                return None
+            if (self.stops is None or self._ends(at) or self.source[at + 1 : at + 2] in ("!", "?", "/")) and (m := _TAG.match(self.source, at)):
+                return m
+            if self.source[at + 1 : at + 2].isalpha():
+                self._ends(at)  # from now on it is known beforehand
+            at += 1
+        return None
+
+    def after(self, name: str, at: int) -> int:
+        """Where the element's closing tag ends, -1 if there is none."""
+        if name not in self.unclosed:
+            if m := re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.source, at):
+                return m.end()
+            self.unclosed.add(name)
+        return -1
+
+
 class Page:
-    """Block-level nodes of a page in order: tag, tokens, parent (-1: none), and the text pieces with their node and block."""
+    """Block-level nodes of a page in order: tag, tokens, parent (-1: none), and the text pieces with their node and block.
+
+    The stack of open elements is indexed by name and by block, so each tag costs the same however deep the page is.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.tokens, self.parent, self.links, self.inputs, self.mark = ["html"], [frozenset()], [-1], [0], [0], [False]
         self.pieces: list[tuple[int, int, str, bool]] = []
-        stack: list[tuple[str, int]] = [("html", 0)]
-        block, at, anchors = 0, 0, 0
-        source_end = len(source)
-        while at < source_end:
-            m = _TAG.search(source, at)
-            upto = m.start() if m else source_end
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.open: dict[str, list[int]] = {"html": [0]}
+        self.open_blocks: list[int] = [0]
+        self.block, self.anchors = 0, 0
+        tags, at = _Tags(source), 0
+        while at < len(source):
+            m = tags.next(at)
+            upto = m.start() if m else len(source)
             if upto > at:
-                self.pieces.append((stack[-1][1], block, source[at:upto], anchors > 0))
+                self.pieces.append((self.stack[-1][1], self.block, source[at:upto], self.anchors > 0))
             if not m:
                 break
             at = m.end()
-            name = m["name"]
-            if name is None:
+            if m["name"] is None:
                 continue
-            name = name.lower()
+            name = m["name"].lower()
             if m["end"]:
-                if any(t == name for t, _ in stack[1:]):
-                    while stack[-1][0] != name:
-                        anchors -= stack[-1][0] == "a"
-                        block += stack.pop()[0] in BLOCK
-                    stack.pop()
-                    anchors -= name == "a"
-                    block += name in BLOCK
-                continue
-            if name in RAW:
-                if name in ("select", "textarea", "button", "option"):
-                    self.inputs[stack[-1][1]] += 1
+                if name != "html" and self.open.get(name):
+                    self._close(self.open[name][-1])
+            elif name in RAW:
+                self.inputs[self.stack[-1][1]] += name in ("select", "textarea", "button", "option")
                 if not m["rest"].endswith("/"):
-                    closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                    at = closing.end() if closing else (source_end if name in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe") else at)
-                continue
-            if name == "input":
-                self.inputs[stack[-1][1]] += 1
-            if name in ("html", "body") and any(t == name for t, _ in stack):
-                continue
-            if name in BLOCK and name not in _IN_PARAGRAPH:
-                opened = [t for t, _ in stack]
-                if "p" in opened:
-                    k = len(opened) - 1 - opened[::-1].index("p")
-                    if not any(t in BLOCK for t in opened[k + 1 :]):
-                        for t, _ in stack[k:]:
-                            anchors -= t == "a"
-                        del stack[k:]
-                        block += 1
-            if name in _CLOSES:
-                ends, fences = _CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in fences:
-                        break
-                    if stack[k][0] in ends:
-                        for t, _ in stack[k:]:
-                            anchors -= t == "a"
-                        del stack[k:]
-                        block += 1
-                        break
-            if name in VOID:
-                if name == "br":
-                    self.pieces.append((stack[-1][1], block, " ", False))
-                block += name == "hr"
-                continue
-            if m["rest"].endswith("/") and name not in BLOCK:
-                continue
-            node = stack[-1][1]
+                    end = tags.after(name, at)
+                    at = end if end >= 0 else (len(source) if name in _TO_THE_END else at)
+            elif name == "xmp":  # its content is text as it stands
+                end = tags.after(name, at)
+                self._open("pre", "")
+                said = source[at : end if end >= 0 else len(source)]
+                self.pieces.append((self.stack[-1][1], self.block, entities.escape(said[: said.rfind("</")] if end >= 0 else said), False))
+                self._close(len(self.stack) - 1)
+                at += len(said)
+            elif not (name in ("html", "body") and self.open.get(name)):
+                self._open(name, m["rest"])
+
+    def _close(self, k: int) -> None:
+        """Closes the open element at place ``k`` of the stack and those in it."""
+        while len(self.stack) > k:
+            name, _ = self.stack.pop()
+            self.open[name].pop()
+            self.anchors -= name == "a"
             if name in BLOCK:
-                block += 1
-                node = len(self.tag)
-                self.tag.append(name)
-                self.parent.append(stack[-1][1])
-                self.tokens.append(frozenset(x for v in _NAMED.findall(m["rest"]) for x in _TOKENS.findall(v.lower())) if m["rest"] else frozenset())
-                self.links.append(0)
-                self.inputs.append(0)
-                self.mark.append(bool(_MARK.search(m["rest"])))
-            elif name == "a":
-                anchors += 1
-                self.links[node] += 1
-            stack.append((name, node))
+                self.open_blocks.pop()
+                self.block += 1
+
+    def _open(self, name: str, rest: str) -> None:
+        if name == "input":
+            self.inputs[self.stack[-1][1]] += 1
+        if name in BLOCK and name not in _IN_PARAGRAPH and self.stack[self.open_blocks[-1]][0] == "p":
+            self._close(self.open_blocks[-1])
+        if name in _CLOSES:
+            ends, fences = (max((self.open[t][-1] for t in names if self.open.get(t)), default=0) for names in _CLOSES[name])
+            if ends > fences:
+                self._close(ends)
+        if name in VOID:
+            if name == "br":
+                self.pieces.append((self.stack[-1][1], self.block, " ", False))
+            self.block += name == "hr"
+            return
+        if rest.endswith("/") and name not in BLOCK:
+            return
+        node = self.stack[-1][1]
+        if name in BLOCK:
+            self.block += 1
+            self.open_blocks.append(len(self.stack))
+            self.parent.append(node)
+            node = len(self.tag)
+            self.tag.append(name)
+            self.tokens.append(frozenset(x for v in _NAMED.findall(rest) for x in _TOKENS.findall(v.lower())) if rest else frozenset())
+            self.links.append(0)
+            self.inputs.append(0)
+            self.mark.append(bool(_MARK.search(rest)))
+        elif name == "a":
+            self.anchors += 1
+            self.links[node] += 1
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, node))
 
     def blocks(self, kept: np.ndarray) -> list[str]:
         """Text of the blocks of kept nodes: references decoded, white space collapsed and trimmed, empty ones left out."""
@@ -366,10 +418,8 @@ def main_text(pages: DataFrame, model: BoostedTrees, *, id_col: str = "page_id",
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = extract([t.as_py() for t in part.column(2)], shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
+        for part in sliced(batches, 1 << 18):
+            texts = extract([t.as_py() for t in part.column(2)], shared.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
