@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, held_out
+from .common import PolyHash, held_out, sliced
 from .crf import Adam, Chains, observed_transitions
 
 #: Expected number of labelled documents that the model is fitted to; their ids are chosen by hash.
 SAMPLE = 3000
+#: Lines of one of them that fitting looks at, at most: those in its middle.
+SAMPLE_LINES = 400
 #: A document counts as good from this score on.
 THRESHOLD = 0.3
 _ROUNDS, _RATE, _RIDGE = 300, 0.1, 0.1
@@ -125,12 +127,12 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts], dtype=np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines_per_document: int = SAMPLE_LINES) -> dict[str, np.ndarray]:
     """Fit to about ``sample`` labelled documents outside the held-out fold.
 
     Rows of ``labels`` without id or with a label other than 0 and 1 are ignored. Which documents are in the
     sample depends on a hash of their ids; executors turn their texts into features, and only these come
-    to the driver.
+    to the driver, of at most ``lines_per_document`` neighbouring lines of each.
     """
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     n = usable.count()
@@ -138,10 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = usable.filter(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 features, lines, _ = line_features(*_bytes(batch.column(2)))
-                cut = np.split(features.astype(np.float32), np.cumsum(lines)[:-1])
+                cut = [c[(skip := max(0, len(c) - lines_per_document) // 2) : skip + lines_per_document] for c in np.split(features.astype(np.float32), np.cumsum(lines)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in cut], pa.binary())], ["id", "label", "features"])
 
     texts = docs.select(F.col(id_col), F.col(text_col)).join(chosen, F.col(id_col) == F.col("_id")).select("_id", "_label", text_col)
@@ -162,7 +164,7 @@ def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray], *, id_col: s
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 score = scores(shared.value, *line_features(*_bytes(batch.column(2))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())], [id_col, "held_out", "score", "predicted"])
