@@ -26,6 +26,10 @@ class ImageTooLargeError(LayoutError):
     """A page has more pixels than allowed."""
 
 
+class ImageFormatError(LayoutError, ValueError):
+    """An image is empty, broken or of an unknown format."""
+
+
 class TooManyPagesError(LayoutError):
     """A document has more pages than allowed."""
 
