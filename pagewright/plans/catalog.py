@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import taxonomy
 from ..functions.text import normalize_latex
-from ..operators import correction, decode, dedupe, export, guards, order, recognize, tables
+from ..operators import correction, decode, dedupe, export, guards, inference, order, recognize, tables, tensors
 from ..schema import AnalysisOptions
-from ..sources import derived
+from ..sources import derived, images
 from ..sources.derived import DET_KEY, PAGE_HEIGHT, PAGE_WIDTH, view
 from . import analyze as plan
-from . import oracles
+from . import oracles, service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
@@ -178,6 +178,19 @@ def decode_paddle(spark, sf_dir):
     return _boxes(decode.decode_paddle(_raw_rows(spark, sf_dir, "paddle", 0.75), 0.5, 800, stride=7), "page_id")
 
 
+@query
+def decode_counted(spark, sf_dir):
+    """Rows of which a count says how many hold (0: all), some with a NaN score, class, corner or order key."""
+    dets = derived.detections(spark, sf_dir)
+    f = lambda c: c.cast("float")
+    nan = F.lit(float("nan")).cast("float")
+    odd = lambda k, c: F.when(F.col("pk") % 11 == k, nan).otherwise(f(c))
+    values = [odd(0, F.col("class_id")), odd(1, F.col("score")), odd(2, F.col("x1") * 0.75), *(f(F.col(c) * 0.75) for c in ("y1", "x2", "y2")), odd(3, F.col("order_hint"))]
+    packed = dets.groupBy("page_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*DET_KEY, F.array(*values).alias("v")))), lambda x: x["v"])).alias("rows"))
+    sized = packed.join(derived.page_sizes(spark, sf_dir).select("page_id", "width", "height"), "page_id").withColumn("n", (F.col("page_id") % 8).cast("int"))
+    return decode.decode_paddle(sized, 0.5, 800, stride=7, count="n").select("page_id", "det_pos", "class_id", "score", "order_hint", F.round("x1", 3).alias("x1"), F.round("y2", 3).alias("y2"))
+
+
 @query
 def decode_yolo(spark, sf_dir):
     return _boxes(decode.decode_yolo(_raw_rows(spark, sf_dir, "yolo", 0.625), 0.5, 640), "page_id")
@@ -202,14 +215,15 @@ def letterbox(spark, sf_dir):
 
 @query
 def orientation_decode(spark, sf_dir):
+    """Every four values of every vector as an answer of the classifier; every third answer scaled to probabilities."""
     view(spark, sf_dir, "embeddings")
-    values = F.slice("embedding", 1, 4)
-    # Every third vector is given as exact probabilities.
-    given = F.when(F.col("vec_id") % 3 == 0, F.array(*(F.lit(x).cast("float") for x in (0.5, 0.25, 0.125, 0.125)))).otherwise(values)
-    p = decode.decode_orientation(given)
-    rows = spark.table("embeddings").select("vec_id", p.alias("p"))
+    four = spark.table("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), (F.size("embedding") / 4).cast("int") - 1)).alias("k"), "embedding").withColumn("v", F.slice("embedding", F.col("k") * 4 + 1, F.lit(4)))
+    size = F.transform("v", lambda x: F.abs(x.cast("double")))
+    total = F.aggregate(size, G.d(0), lambda acc, x: acc + x)
+    given = F.when((F.col("vec_id") + F.col("k")) % 3 == 0, F.transform(size, lambda x: (x / total).cast("float"))).otherwise(F.col("v"))
+    rows = four.select("vec_id", "k", decode.decode_orientation(given).alias("p"))
     gate = (F.col("p.rotation") != 0) & (F.col("p.confidence") >= F.lit(0.6).cast("float"))
-    return rows.select("vec_id", "p.rotation", *(F.round(F.col(f"p.{c}").cast("double"), 4).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
+    return rows.select("vec_id", "k", "p.rotation", *(F.round(F.col(f"p.{c}").cast("double"), 3).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
 
 
 def _corrected(spark, sf_dir) -> DataFrame:
@@ -296,6 +310,34 @@ def table_markdown(spark, sf_dir):
     return narrow.select("ok", tables.to_markdown(F.col("table")).alias("markdown"))
 
 
+@query
+def table_empty(spark, sf_dir):
+    """Tables that lose their first columns, some all of them."""
+    kept = F.filter(F.col("table.cells"), lambda c: c["column"] >= F.col("ok") % 6)
+    cut = _tables(spark, sf_dir).withColumn("table", tables.build(kept))
+    return cut.select("ok", tables.is_empty(F.col("table")).alias("is_empty"), F.col("table.row_count").alias("row_count"), F.col("table.column_count").alias("column_count"))
+
+
+@query
+def markdown_blocks(spark, sf_dir):
+    """Blocks of recognized tables and formulas as Markdown; every fifth table has no cells and falls back on its text, or its mark."""
+    base = _tables(spark, sf_dir).withColumn("table", tables.build(F.filter(F.col("table.cells"), lambda c: F.col("ok") % 5 != 0)))
+    text = F.when(F.col("ok") % 2 == 0, F.concat(F.lit(" said "), F.col("ok").cast("string"), F.lit("\n")))
+    latex = F.when(F.col("ok") % 3 != 0, F.concat(F.lit(" x^{"), F.col("ok").cast("string"), F.lit("} ")))
+    rows = base.select("ok", F.explode(F.array(F.lit("Table"), F.lit("Formula"), F.lit("Text"))).alias("type"), "table", text.alias("text"), latex.alias("latex"))
+    shown = export.block_markdown(F.col("type"), F.col("text"), F.col("table"), F.col("latex"))
+    return rows.select("ok", "type", shown.alias("markdown"), F.when(F.col("type") != "Table", export.plain_payload(F.col("text"), None, F.col("latex"))).alias("plain"))
+
+
+@query
+def table_bridge(spark, sf_dir):
+    """The largest of the tables of four neighbouring orders, and the longest of their header texts."""
+    near = _tables(spark, sf_dir).withColumn("near", F.floor(F.col("ok") / 4)).groupBy("near").agg(F.sort_array(F.collect_list(F.struct("ok", "table"))).alias("all"))
+    best = service.largest_table(F.transform("all", lambda x: x["table"]))
+    said = service.longest(F.transform("all", lambda x: F.array_max(F.transform(x["table"]["cells"], lambda c: F.when(c["column"] == 3, c["text"])))))
+    return near.select("near", F.size(best["cells"]).alias("n_cells"), best["row_count"].alias("row_count"), said.alias("longest"))
+
+
 @query
 def table_offset(spark, sf_dir):
     moved = _tables(spark, sf_dir).select("ok", F.explode(tables.offset(F.col("table"), F.col("ok").cast("double"), G.d(0.5))["cells"]).alias("c"))
@@ -396,8 +438,104 @@ def recognize_routing(spark, sf_dir):
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.count("latex").alias("with_latex"), F.count("table").alias("with_table"))
 
 
+def _page_files(spark, sf_dir) -> DataFrame:
+    """Image files made of the bytes of whole texts: a frame 32 pixels wide, then one of the bytes that are left."""
+    view(spark, sf_dir, "documents")
+    data = F.col("text").cast("binary")
+    n = F.octet_length(data)
+    wide, left = F.floor(n / 32).cast("int"), n % 32
+    frame = lambda w, h, body: F.when((w > 0) & (h > 0), F.concat(F.concat(F.lit("P5 "), w.cast("string"), F.lit(" "), h.cast("string"), F.lit(" 255\n")).cast("binary"), body)).otherwise(F.lit(b""))
+    body = F.concat(frame(F.lit(32), wide, F.substring(data, F.lit(1), wide * 32)), frame(left, F.lit(1), F.substring(data, wide * 32 + 1, left)))
+    return spark.table("documents").select("doc_id", body.alias("content"))
+
+
+def _page_images(spark, sf_dir) -> DataFrame:
+    return images.frames_of(_page_files(spark, sf_dir))
+
+
+@query
+def image_frames(spark, sf_dir):
+    """Frames of image files, decoded."""
+    return _page_images(spark, sf_dir).select("doc_id", "page_number", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def image_upright(spark, sf_dir):
+    """Pages turned by what a classifier says of them (here: upside down, with a confidence by the document)."""
+    told = F.struct(F.lit(180).alias("rotation"), ((F.col("doc_id") % 10) / 10).cast("float").alias("confidence"))
+    pages = _page_images(spark, sf_dir).filter("pixels is not null").withColumn("turn", told)
+    fixed = inference.correct_pages(pages, orientation_column="turn")
+    return fixed.select("doc_id", "page_number", "rotation", "skew_angle", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
+@query
+def image_crops(spark, sf_dir):
+    """A region of each page for a recognizer: the middle third of its rows."""
+    third = F.floor(F.col("height") / 3).cast("int")
+    pages = _page_images(spark, sf_dir).filter("pixels is not null")
+    cut = tensors.crop(F.col("pixels"), F.col("width"), F.col("height"), [F.lit(0), third, F.col("width"), third])
+    return pages.select("doc_id", "page_number", cut.alias("c")).filter("c is not null").select("doc_id", "page_number", F.col("c.width").alias("width"), F.col("c.height").alias("height"), F.sha2("c.pixels", 256).alias("pixels_sha256"))
+
+
+class _Scripted:
+    """A model session with fixed rows that depend on nothing but the contract; stands for a detector's weights."""
+
+    ROWS = {"paddle": [[1, 0.9, 8, 8, 40, 24, 2], [0, 0.75, 0, 32, 64, 64, 0], [5, 0.3, 0, 0, 9, 9, 1]], "yolo": [[8, 8, 40, 24, 0.9, 1], [16, 32, 60, 60, 0.625, 0], [0, 0, 0, 0, 0, 0]]}
+
+    def __init__(self, path: str, threads: int) -> None:
+        self.contract = path
+
+    def get_inputs(self) -> list:
+        return [type("Input", (), {"name": "image", "shape": [1, 3, 64, 64]})()]
+
+    def get_outputs(self) -> list:
+        n = len(self.ROWS[self.contract][0])
+        return [type("Output", (), {"name": "rows", "shape": [3, n], "type": "tensor(float)"})()]
+
+    def run(self, names: list[str] | None, feed: dict) -> list:
+        import numpy as np
+
+        (image,) = feed.values()
+        if image.shape != (1, 3, 64, 64) or image.dtype != np.float32:
+            raise ValueError("the model takes 64 x 64 pixels")
+        return [np.array(self.ROWS[self.contract], np.float32)]
+
+
+def _detected(spark, sf_dir, contract: str) -> DataFrame:
+    detector = inference.Detector(contract, contract, 64, ("text", "title"))
+    found = inference.detect(_page_images(spark, sf_dir), detector, page=["doc_id", "page_number"], factory=_Scripted)
+    return found.select("doc_id", "page_number", "det_pos", "class_id", "score", "order_hint", *(F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query
+def detect_paddle(spark, sf_dir):
+    """Detections of all pages by a session in each worker: paddle contract."""
+    return _detected(spark, sf_dir, "paddle")
+
+
+@query
+def detect_yolo(spark, sf_dir):
+    """The same by the letterboxed contract."""
+    return _detected(spark, sf_dir, "yolo")
+
+
+@query
+def json_fields(spark, sf_dir):
+    """Computed fields of exported JSON: sizes of boxes and whether a page was corrected."""
+    box = "struct<MinX:double,MaxY:double,Width:double,Height:double,Area:double,CenterX:double,CenterY:double,IsEmpty:boolean>"
+    kind = f"struct<Pages:array<struct<PageNumber:int,Width:int,SourceHeight:int,IsCorrected:boolean,Blocks:array<struct<Type:string,ReadingOrder:int,BoundingBox:{box}>>>>>"
+    pages = doc_json(spark, sf_dir).select("doc", F.explode(F.from_json("json", kind)["Pages"]).alias("p"))
+    rows = pages.select("doc", F.col("p.PageNumber").alias("page_number"), F.col("p.Width").alias("page_width"), F.col("p.SourceHeight").alias("source_height"), F.col("p.IsCorrected").alias("is_corrected"), F.explode("p.Blocks").alias("b"))
+    told = {"min_x": "MinX", "max_y": "MaxY", "width": "Width", "height": "Height", "area": "Area", "center_x": "CenterX", "center_y": "CenterY", "is_empty": "IsEmpty"}
+    return rows.select("doc", "page_number", "page_width", "source_height", "is_corrected", F.col("b.Type").alias("type"), F.col("b.ReadingOrder").alias("reading_order"), *(F.col(f"b.BoundingBox.{c}").alias(n) for n, c in told.items()))
+
+
 @query
 def page_skew(spark, sf_dir):
-    """Skew of one synthetic page per page id, drawn with a known skew from the id; pixel work, so dealt out over all cores."""
+    """Skew of one synthetic page per page id, drawn with a known skew from the id; pixel work, so dealt out over all cores.
+
+    ``nearest``: the estimate to the next of the drawn angles, which are three degrees apart.
+    """
     ids = derived.page_sizes(spark, sf_dir).select("page_id", ((F.col("page_id") % 5 - 2) * 3).cast("double").alias("drawn"))
-    return correction.estimate_drawn(ids.repartition(4 * spark.sparkContext.defaultParallelism, "page_id"))
+    found = correction.estimate_drawn(ids.repartition(4 * spark.sparkContext.defaultParallelism, "page_id"))
+    return found.select("page_id", "drawn", (F.round(F.col("angle") / 3) * 3).cast("int").alias("nearest"), "reliable", "within")

@@ -173,16 +173,40 @@ _CUSTOM_TYPE = _case("label", LABELS, _case("spelled", LABELS, _case("spelled",
 _MAPPED = "CASE " + " ".join(f"WHEN label = {_text(a)} THEN {_text(b)}" for a, b in CUSTOM_MAP.items()) + f" ELSE {_CUSTOM_TYPE} END"
 _BUILT_IN = ", ".join(f"({_text(m)}, {_text(x)})" for m, x in [(m, x) for m, xs in VOCABULARIES.items() for x in xs] + [("none", x) for x in ("Title", "stamp", "table_title", "chart_title", "nothing", "")])
 _PAIR_KEYS = ", ".join(f"a.{k} AS {k}_a" for k in derived.DET_KEY) + ", " + ", ".join(f"b.{k} AS {k}_b" for k in derived.DET_KEY)
-_PAIRS = f"FROM strong a JOIN strong b ON a.page_id = b.page_id AND ({', '.join('a.' + k for k in derived.DET_KEY)}) < ({', '.join('b.' + k for k in derived.DET_KEY)})"
-_ORIENT = "WITH given AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN [CAST(0.5 AS FLOAT), 0.25, 0.125, 0.125] ELSE embedding[1:4] END AS v FROM embeddings), judged AS (SELECT vec_id, v, vec_id % 3 = 0 OR (list_min(v) >= 0 AND list_max(v) <= 1 AND abs(list_sum(v) - 1) <= 0.01) AS given_p FROM given), soft AS (SELECT vec_id, CASE WHEN given_p THEN list_transform(v, lambda x: CAST(x AS DOUBLE)) ELSE list_transform(v, lambda x: exp(CAST(x AS DOUBLE) - list_max(v)) / list_sum(list_transform(v, lambda y: exp(CAST(y AS DOUBLE) - list_max(v))))) END AS p FROM judged), best AS (SELECT vec_id, p, CAST((list_position(p, list_max(p)) - 1) * 90 AS INT) AS rotation, list_max(p) AS confidence FROM soft)"
+# Each region gets one number per page first, so that pairs are a hash join on the page and one comparison.
+_PAIRS = f"{_STRONG}, numbered AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY page_id ORDER BY {_KEY}) AS place FROM strong)"
+_OF_PAIRS = "FROM numbered a JOIN numbered b ON a.page_id = b.page_id WHERE a.place < b.place"
+_ORIENT = "WITH four AS (SELECT vec_id, CAST(k AS INT) AS k, embedding[4 * k + 1:4 * k + 4] AS e FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 4)) AS k FROM embeddings)), given AS (SELECT vec_id, k, CASE WHEN (vec_id + k) % 3 = 0 THEN list_transform(e, lambda x: abs(CAST(x AS DOUBLE)) / list_sum(list_transform(e, lambda y: abs(CAST(y AS DOUBLE))))) ELSE list_transform(e, lambda x: CAST(x AS DOUBLE)) END AS v FROM four), judged AS (SELECT vec_id, k, v, (vec_id + k) % 3 = 0 OR (list_min(v) >= 0 AND list_max(v) <= 1 AND abs(list_sum(v) - 1) <= 0.01) AS given_p FROM given), soft AS (SELECT vec_id, k, CASE WHEN given_p THEN v ELSE list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v))))) END AS p FROM judged), best AS (SELECT vec_id, k, p, CAST((list_position(p, list_max(p)) - 1) * 90 AS INT) AS rotation, list_max(p) AS confidence FROM soft)"
+
+# Pages made of the bytes of texts, in hexadecimal: frame number, width, height, gray bytes.
+_FRAMES = "WITH bytes AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL), frames AS (SELECT doc_id, CAST(1 AS INT) AS page_number, CAST(32 AS INT) AS width, CAST(n // 32 AS INT) AS height, substr(h, 1, CAST(n // 32 * 64 AS BIGINT)) AS gray FROM bytes WHERE n >= 32 UNION ALL SELECT doc_id, CAST(CASE WHEN n >= 32 THEN 2 ELSE 1 END AS INT), CAST(n % 32 AS INT), CAST(1 AS INT), substr(h, CAST(n // 32 * 64 + 1 AS BIGINT)) FROM bytes WHERE n % 32 > 0)"
+
+
+def _pixels(gray: str) -> str:
+    return f"sha256(unhex(regexp_replace({gray}, '(..)', '\\1\\1\\1', 'g')))"
+
+
+#: Rows of the scripted detectors: position, class, score, order, box in input pixels.
+_SCRIPT = {"paddle": "(0, 1, 0.9, 2, 8, 8, 40, 24), (1, 0, 0.75, 0, 0, 32, 64, 64)", "yolo": "(0, 1, 0.9, -1, 8, 8, 40, 24), (1, 0, 0.625, -1, 16, 32, 60, 60)"}
+
+
+def _found(contract: str) -> str:
+    content = {s: f"greatest(1, least(64, CAST(round_even({s} * scale, 0) AS INT)))" for s in ("width", "height")}
+    back = {
+        "paddle": lambda c, s: f"CAST({c} AS DOUBLE) * ({s} / 64.0::DOUBLE)",
+        "yolo": lambda c, s: f"greatest(0.0::DOUBLE, least(CAST({s} AS DOUBLE), (CAST({c} AS DOUBLE) - (64 - {content[s]}) / 2.0::DOUBLE) / scale))",
+    }[contract]
+    box = ", ".join(f"{back(c, 'width' if c[0] == 'x' else 'height')} AS {c}" for c in ("x1", "y1", "x2", "y2"))
+    return f"{_FRAMES}, said(det_pos, class_id, score, order_hint, x1, y1, x2, y2) AS (VALUES {_SCRIPT[contract]}), scaled AS (SELECT *, least(64 / CAST(width AS DOUBLE), 64 / CAST(height AS DOUBLE)) AS scale FROM frames), boxes AS (SELECT doc_id, page_number, CAST(det_pos AS INT) AS det_pos, CAST(class_id AS INT) AS class_id, CAST(score AS FLOAT) AS score, CAST(order_hint AS INT) AS order_hint, {box} FROM scaled CROSS JOIN said) SELECT doc_id, page_number, det_pos, class_id, score, order_hint, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM boxes WHERE x2 - x1 >= 1 AND y2 - y1 >= 1"
+
 
 ORACLE_SQL: dict[str, str] = {
     "dets_filtered": f"{_STRONG} SELECT page_id, {_KEY}, class_id, raw_name, type, score, order_hint, x1, y1, x2, y2 FROM strong",
     "type_counts": f"{_kept(None)} SELECT type, count(*) AS n_blocks FROM kept GROUP BY type",
     "box_geometry": f"{_BASE} SELECT page_id, {_KEY}, {_width('')} AS width, {_height('')} AS height, {_area('')} AS area, x1 + {_width('')} / 2 AS center_x, y1 + {_height('')} / 2 AS center_y, {_width('')} <= 0 AND {_height('')} <= 0 AS is_empty FROM dets",
     "pixel_rect": f"{_BASE}, r AS (SELECT page_id, {_KEY}, CAST(round_even(least(x1 / 2, 380), 0) AS INT) AS px, CAST(round_even(least(y1 / 2, 498), 0) AS INT) AS py, CAST(round_even(least(x2 / 2, 380), 0) AS INT) AS pr, CAST(round_even(least(y2 / 2, 498), 0) AS INT) AS pb FROM dets) SELECT page_id, {_KEY}, px, py, greatest(0, pr - px) AS pw, greatest(0, pb - py) AS ph FROM r",
-    "box_iou_pairs": f"{_STRONG} SELECT a.page_id, {_PAIR_KEYS}, {_shared('a.', 'b.')} AS shared, round({_iou('a.', 'b.')}, 9) AS iou {_PAIRS} WHERE {_iou('a.', 'b.')} > {_IOU_LIMIT}",
-    "containment_pairs": f"{_STRONG} SELECT a.page_id, {_PAIR_KEYS}, a.type AS type {_PAIRS} WHERE a.type = b.type AND {_shared('a.', 'b.')} > 0 AND {_area('b.')} > 0 AND {_shared('a.', 'b.')} / {_area('b.')} >= 0.9",
+    "box_iou_pairs": f"{_PAIRS} SELECT a.page_id, {_PAIR_KEYS}, {_shared('a.', 'b.')} AS shared, round({_iou('a.', 'b.')}, 9) AS iou {_OF_PAIRS} AND {_iou('a.', 'b.')} > {_IOU_LIMIT}",
+    "containment_pairs": f"{_PAIRS} SELECT a.page_id, {_PAIR_KEYS}, a.type AS type {_OF_PAIRS} AND a.type = b.type AND {_shared('a.', 'b.')} > 0 AND {_area('b.')} > 0 AND {_shared('a.', 'b.')} / {_area('b.')} >= 0.9",
     "dedupe_blocks": f"{_kept(None)} SELECT page_id, {_KEY}, CAST(rank AS INT) AS rank, type, score FROM kept",
     "dedupe_cleanup": f"{_kept(0.005)} SELECT page_id, {_KEY}, CAST(rank AS INT) AS rank, type, score FROM kept",
     "order_choice": f"{_kept(0.001)}, every AS (SELECT DISTINCT page_id FROM strong) SELECT page_id, CASE WHEN bool_and(order_hint >= 0) THEN 'model' ELSE 'xycut' END AS strategy, CAST(count(rank) AS INT) AS n_blocks FROM every LEFT JOIN kept USING (page_id) GROUP BY page_id",
@@ -191,13 +215,13 @@ ORACLE_SQL: dict[str, str] = {
     "xycut_splits": f"{_kept(0.001)}, g AS (SELECT *, y1 - max(y2) OVER (PARTITION BY page_id ORDER BY y1, y2, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM kept) SELECT page_id, {_KEY}, gap, coalesce(gap > -5, FALSE) AS is_cut, CAST(sum(CAST(coalesce(gap > -5, FALSE) AS INT)) OVER (PARTITION BY page_id ORDER BY y1, y2, rank ROWS UNBOUNDED PRECEDING) AS INT) AS segment FROM g",
     "xycut_order": f"{_kept(0.001)}, items AS (SELECT page_id, rank, x1, y1, x2, y2 FROM kept){_cut('page_id', 5.0)} SELECT kept.page_id, {_KEY}, CAST(row_number() OVER (PARTITION BY kept.page_id ORDER BY path) - 1 AS INT) AS reading_order FROM kept JOIN placed ON kept.page_id = placed.page_id AND kept.rank = placed.rank",
     "analyze_blocks": f"{_ANALYZED} SELECT page_id, strategy, {_KEY}, class_id, raw_name, type, score, x1, y1, x2, y2, reading_order FROM analyzed",
-    "type_map_builtin": f"WITH l(model, label) AS (VALUES {_BUILT_IN}), t AS (SELECT model, label, {_case('label', LABELS, chr(39) + 'Other' + chr(39))} AS type FROM l) SELECT model, label, type, type IN {_strings(TEXT_BEARING)} AS text_bearing, type IN {_strings(FURNITURE)} AS furniture, lang, n_docs FROM t CROSS JOIN (SELECT lang, count(*) AS n_docs FROM documents WHERE lang = 'en' GROUP BY lang)",
+    "type_map_builtin": f"WITH l(model, label) AS (VALUES {_BUILT_IN}), t AS (SELECT model, label, {_case('label', LABELS, chr(39) + 'Other' + chr(39))} AS type FROM l) SELECT model, label, type, type IN {_strings(TEXT_BEARING)} AS text_bearing, type IN {_strings(FURNITURE)} AS furniture, lang, n_docs FROM t CROSS JOIN (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang)",
     "type_map_custom": f"WITH l(label) AS (VALUES {', '.join(f'({_text(x)})' for x in CUSTOM_LABELS)}), s AS (SELECT label, lower(replace(replace(trim(label), '-', '_'), ' ', '_')) AS spelled FROM l) SELECT lang, label, {_CUSTOM_TYPE} AS type, {_MAPPED} AS mapped_type FROM s CROSS JOIN (SELECT DISTINCT lang FROM documents)",
     "decode_paddle": _decoded("{} * (width / 800.0::DOUBLE)", "{} * (height / 800.0::DOUBLE)", "CASE WHEN order_hint >= 0 THEN order_hint ELSE -1 END", 0.75),
     "decode_yolo": _decoded("({} - pad_x) / scale", "({} - pad_y) / scale", "-1", 0.625, f", {_SCALE} AS scale, {_PAD['width']} AS pad_x, {_PAD['height']} AS pad_y"),
     "decode_detr": "WITH q AS (SELECT vec_id, CAST(unnest([0, 1, 2]) AS INT) AS det_pos, embedding FROM embeddings), l AS (SELECT vec_id, det_pos, embedding[det_pos * 17 + 1:det_pos * 17 + 17] AS lg, list_transform(embedding[52 + det_pos * 4:55 + det_pos * 4], lambda x: abs(x)) AS b FROM q), s AS (SELECT vec_id, det_pos, CAST(list_position(lg, list_max(lg)) - 1 AS INT) AS class_id, CAST(list_max(lg) AS DOUBLE) AS best, b FROM l WHERE list_max(lg) >= CAST(ln(CAST(0.55 AS DOUBLE) / (1 - CAST(0.55 AS DOUBLE))) AS FLOAT)), c AS (SELECT vec_id, det_pos, class_id, 1 / (1 + exp(-best)) AS score, greatest(0.0::DOUBLE, least(762.0::DOUBLE, CAST((b[1] - b[3] / 2) * 762 AS DOUBLE))) AS x1, greatest(0.0::DOUBLE, least(1000.0::DOUBLE, CAST((b[2] - b[4] / 2) * 1000 AS DOUBLE))) AS y1, greatest(0.0::DOUBLE, least(762.0::DOUBLE, CAST((b[1] + b[3] / 2) * 762 AS DOUBLE))) AS x2, greatest(0.0::DOUBLE, least(1000.0::DOUBLE, CAST((b[2] + b[4] / 2) * 1000 AS DOUBLE))) AS y2 FROM s) SELECT vec_id, det_pos, class_id, round(score, 4) AS score, round(x1, 2) AS x1, round(y1, 2) AS y1, round(x2, 2) AS x2, round(y2, 2) AS y2 FROM c WHERE x2 - x1 >= 1 AND y2 - y1 >= 1",
     "letterbox": f"SELECT page_id, round({_SCALE}, 9) AS scale, {_CONTENT['width']} AS content_width, {_CONTENT['height']} AS content_height, {_PAD['width']} AS pad_x, {_PAD['height']} AS pad_y, {_PLACE['width']} AS \"left\", {_PLACE['height']} AS top FROM ({derived.PAGES})",
-    "orientation_decode": f"{_ORIENT} SELECT vec_id, rotation, round(confidence, 4) AS confidence, round(p[1], 4) AS p0, round(p[2], 4) AS p90, round(p[3], 4) AS p180, round(p[4], 4) AS p270, rotation <> 0 AND confidence >= CAST(0.6 AS FLOAT) AS applied FROM best",
+    "orientation_decode": f"{_ORIENT} SELECT vec_id, k, rotation, round(confidence, 3) AS confidence, round(p[1], 3) AS p0, round(p[2], 3) AS p90, round(p[3], 3) AS p180, round(p[4], 3) AS p270, rotation <> 0 AND confidence >= CAST(0.6 AS FLOAT) AS applied FROM best",
     "map_to_source_points": f"{_CORRECTED} SELECT page_id, round({_source('10.0::DOUBLE', '20.0::DOUBLE')[0]}, 6) AS x, round({_source('10.0::DOUBLE', '20.0::DOUBLE')[1]}, 6) AS y, CASE WHEN rotation IN (90, 270) THEN height ELSE width END AS upright_w, CASE WHEN rotation IN (90, 270) THEN width ELSE height END AS upright_h, rotation <> 0 OR skew <> 0 AS is_corrected FROM upright",
     "map_to_source_boxes": f"{_CORRECTED}, det_base AS ({derived.DET_BASE}), dets AS ({derived.DETS}) SELECT page_id, {_KEY}, round(least({', '.join(c[0] for c in _CORNERS)}), 5) AS sx1, round(least({', '.join(c[1] for c in _CORNERS)}), 5) AS sy1, round(greatest({', '.join(c[0] for c in _CORNERS)}), 5) AS sx2, round(greatest({', '.join(c[1] for c in _CORNERS)}), 5) AS sy2 FROM dets JOIN upright USING (page_id)",
     "luma_histogram": f"{_GRAY} SELECT event_type, luma, count(*) AS n FROM gray GROUP BY event_type, luma",
@@ -212,10 +236,27 @@ ORACLE_SQL: dict[str, str] = {
     "plain_text": _document("CASE WHEN said <> '' THEN text END", "chr(10)", "chr(10) || chr(10)", "text"),
     "markdown": _document(_MARKDOWN, "chr(10) || chr(10)", "chr(10) || chr(10) || '---' || chr(10) || chr(10)", "markdown"),
     "json_roundtrip": f"{_ANALYZED}, pages AS ({derived.PAGES}) SELECT CAST(floor(page_id / 4) AS BIGINT) AS doc, CAST(page_id % 4 + 1 AS INT) AS page_number, rotation, skew AS skew_angle, type, score AS confidence, reading_order, class_id AS raw_class_id, raw_name AS raw_class_name, x1 AS min_x, y1 AS min_y, x2 AS max_x, y2 AS max_y FROM analyzed JOIN pages USING (page_id)",
-    "latex_normalize": "WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents) SELECT doc_id, CASE WHEN doc_id % 7 = 4 THEN NULL WHEN doc_id % 7 = 5 THEN '$' ELSE nullif(trim(word, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') END AS latex FROM w",
+    "latex_normalize": f"WITH w AS (SELECT doc_id, trim(CASE doc_id % 7 WHEN 0 THEN '$$ ' || text || ' $$' WHEN 1 THEN '  $' || text || '$ ' WHEN 2 THEN '\\[' || text || '\\]' WHEN 3 THEN '\\(' || text || '\\)' ELSE text END, {_TRIM}) AS t FROM documents), b AS (SELECT doc_id, CASE WHEN length(t) >= 4 AND starts_with(t, '$$') AND ends_with(t, '$$') OR length(t) >= 4 AND starts_with(t, '\\[') AND ends_with(t, '\\]') OR length(t) >= 4 AND starts_with(t, '\\(') AND ends_with(t, '\\)') THEN substr(t, 3, length(t) - 4) WHEN length(t) >= 2 AND starts_with(t, '$') AND ends_with(t, '$') THEN substr(t, 2, length(t) - 2) ELSE t END AS bare FROM w) SELECT doc_id, nullif(trim(bare, {_TRIM}), '') AS latex FROM b",
     "page_numbering": "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page_number FROM conversations",
     "guard_pages": "SELECT conv_id, least(count(*), 5) AS n_pages, CASE WHEN count(*) > 4 THEN 'document has 5 pages; at most 4 are allowed' END AS error FROM conversations GROUP BY conv_id",
     "guard_pixels": f"SELECT page_id, CASE WHEN CAST(width AS BIGINT) * height * 1000000 > 900000000000 THEN 'image has ' || (CAST(width AS BIGINT) * height * 1000000) || ' pixels; at most 900000000000 are allowed' END AS error FROM ({derived.PAGES})",
     "recognize_text": f"{_RECOGNIZED} SELECT page_id, {_KEY}, type, text, latex, table_columns FROM answered",
     "recognize_routing": f"{_RECOGNIZED} SELECT type, count(*) AS n, count(text) AS with_text, count(latex) AS with_latex, count(table_columns) AS with_table FROM answered GROUP BY type",
 }
+_JSON_BOX = {"MinX": "x1", "MinY": "y1", "MaxX": "x2", "MaxY": "y2", "Width": _width(""), "Height": _height(""), "Area": _area(""), "CenterX": f"(x1 + {_width('')} / 2)", "CenterY": f"(y1 + {_height('')} / 2)", "IsEmpty": f"({_width('')} <= 0 AND {_height('')} <= 0)"}
+_BOX_JSON = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in _JSON_BOX.items())
+_BLOCK_JSON = f"""'{{"Type":"' || type || '","BoundingBox":{{' || {_BOX_JSON} || '}},"Confidence":' || score || ',"ReadingOrder":' || reading_order || ',"RawClassId":' || class_id || ',"RawClassName":"' || raw_name || '"}}'"""
+ORACLE_SQL |= {
+    "decode_counted": f"{_packed(0.75)}, odd AS (SELECT packed.*, pk % 11 AS k FROM packed JOIN (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {_KEY}, class_id, score, x1, y1, x2, y2) - 1 AS INT) AS det_pos, pk FROM dets) USING (page_id, det_pos)), boxes AS (SELECT page_id, det_pos, class_id, score, CASE WHEN k <> 3 AND order_hint >= 0 THEN order_hint ELSE -1 END AS order_hint, {', '.join(_clamped(f'f{c} * ({s} / 800.0::DOUBLE)', s) + f' AS {c}' for c, s in (('x1', 'width'), ('y1', 'height'), ('x2', 'width'), ('y2', 'height')))} FROM odd JOIN pages USING (page_id) WHERE k > 2 AND score >= CAST(0.5 AS FLOAT) AND (page_id % 8 = 0 OR det_pos < page_id % 8)) SELECT page_id, det_pos, class_id, score, CAST(order_hint AS INT) AS order_hint, round(x1, 3) AS x1, round(y2, 3) AS y2 FROM boxes WHERE x2 - x1 >= 1 AND y2 - y1 >= 1",
+    "table_empty": f"{_TABLES}, kept AS (SELECT * FROM cells WHERE c >= ok % 6) SELECT ok, count(c) = 0 AS is_empty, CAST(coalesce(max(r + rowspan), 0) AS INT) AS row_count, CAST(coalesce(max(c + 1), 0) AS INT) AS column_count FROM (SELECT DISTINCT ok FROM cells) LEFT JOIN kept USING (ok) GROUP BY ok",
+    "markdown_blocks": f"{_GRID}, spans AS (SELECT ok, bool_or(rowspan > 1) AS spans FROM cells GROUP BY ok), html AS ({_html('cells')}), md AS (SELECT ok, \"row\", '| ' || string_agg(replace(text, '|', '\\|'), ' | ' ORDER BY \"column\") || ' |' || CASE WHEN \"row\" = 0 THEN chr(10) || '|' || repeat(' --- |', count(*)) ELSE '' END AS line FROM grid GROUP BY ok, \"row\"), pipes AS (SELECT ok, string_agg(line, chr(10) ORDER BY \"row\") AS pipes FROM md GROUP BY ok), shown AS (SELECT ok, CASE WHEN spans THEN html ELSE pipes END AS md, CASE WHEN ok % 2 = 0 THEN 'said ' || ok END AS said, CASE WHEN ok % 3 <> 0 THEN 'x^{{' || ok || '}}' END AS latex FROM spans JOIN html USING (ok) JOIN pipes USING (ok)) SELECT ok, type, CASE type WHEN 'Table' THEN CASE WHEN ok % 5 = 0 THEN coalesce(said, '*[Table]*') ELSE md END WHEN 'Formula' THEN coalesce('$$' || chr(10) || latex || chr(10) || '$$', said, '*[Formula]*') ELSE said END AS markdown, CASE WHEN type <> 'Table' THEN coalesce(latex, ' ' || said || chr(10)) END AS plain FROM shown CROSS JOIN (VALUES ('Table'), ('Formula'), ('Text')) AS t(type)",
+    "table_bridge": f"{_TABLES}, sized AS (SELECT ok, ok // 4 AS near, CAST(count(*) AS INT) AS n, CAST(max(r + rowspan) AS INT) AS rows_, max(CASE WHEN c = 3 THEN txt END) AS said FROM cells GROUP BY ok), best AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY n DESC, ok) AS by_size, row_number() OVER (PARTITION BY near ORDER BY length(said) DESC, ok) AS by_length FROM sized) SELECT near, max(CASE WHEN by_size = 1 THEN n END) AS n_cells, max(CASE WHEN by_size = 1 THEN rows_ END) AS row_count, max(CASE WHEN by_length = 1 THEN said END) AS longest FROM best GROUP BY near",
+    "image_frames": f"{_FRAMES}, every AS (SELECT doc_id, page_number, width, height, {_pixels('gray')} AS pixels_sha256, FALSE AS failed FROM frames) SELECT * FROM every UNION ALL SELECT doc_id, CAST(1 AS INT), NULL, NULL, NULL, TRUE FROM documents WHERE coalesce(text, '') = ''",
+    "image_upright": f"{_FRAMES} SELECT doc_id, page_number, CASE WHEN doc_id % 10 >= 6 THEN 180 ELSE 0 END AS rotation, 0.0::DOUBLE AS skew_angle, width, height, CASE WHEN doc_id % 10 >= 6 THEN {_pixels(chr(34) + 'turned' + chr(34))} ELSE {_pixels('gray')} END AS pixels_sha256 FROM (SELECT *, array_to_string(list_reverse(regexp_extract_all(gray, '..')), '') AS turned FROM frames)",
+    "image_crops": f"{_FRAMES} SELECT doc_id, page_number, width, CAST(height // 3 AS INT) AS height, {_pixels('substr(gray, 2 * width * (height // 3) + 1, 2 * width * (height // 3))')} AS pixels_sha256 FROM frames WHERE height >= 3",
+    "detect_paddle": _found("paddle"),
+    "detect_yolo": _found("yolo"),
+    "doc_json": f"{_ANALYZED}, pages AS ({derived.PAGES}), written AS (SELECT page_id, string_agg({_BLOCK_JSON}, ',' ORDER BY reading_order) AS b FROM analyzed GROUP BY page_id) SELECT CAST(floor(page_id / 4) AS BIGINT) AS doc, '{{\"Pages\":[' || string_agg('{{\"PageNumber\":' || (page_id % 4 + 1) || ',\"Width\":762,\"Height\":1000,\"Blocks\":[' || coalesce(b, '') || '],\"Rotation\":' || rotation || ',\"SkewAngle\":' || skew || ',\"SourceWidth\":' || width || ',\"SourceHeight\":' || height || ',\"IsCorrected\":' || (rotation <> 0 OR skew <> 0) || '}}', ',' ORDER BY page_id) || ']}}' AS json FROM pages LEFT JOIN written USING (page_id) GROUP BY 1",
+    "page_skew": f"SELECT page_id, CAST((page_id % 5 - 2) * 3 AS DOUBLE) AS drawn, CAST((page_id % 5 - 2) * 3 AS INT) AS nearest, page_id % 5 <> 2 AS reliable, TRUE AS within FROM ({derived.PAGES})",
+    "json_fields": f"{_ANALYZED}, pages AS ({derived.PAGES}) SELECT CAST(floor(page_id / 4) AS BIGINT) AS doc, CAST(page_id % 4 + 1 AS INT) AS page_number, 762 AS page_width, height AS source_height, rotation <> 0 OR skew <> 0 AS is_corrected, type, reading_order, x1 AS min_x, y2 AS max_y, {_width('')} AS width, {_height('')} AS height, {_area('')} AS area, x1 + {_width('')} / 2 AS center_x, y1 + {_height('')} / 2 AS center_y, {_width('')} <= 0 AND {_height('')} <= 0 AS is_empty FROM analyzed JOIN pages USING (page_id)",
+}
