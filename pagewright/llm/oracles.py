@@ -29,6 +29,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars, TRUE AS round_trip
 FROM sized GROUP BY conv_id""",
+    "op6_suffix_dedup": """
+WITH docs AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+     parts AS (SELECT rid, 4096 * k AS base, substr(h, 8192 * k + 1, 2 * (4096 + 199)) AS p FROM (SELECT rid, h, n, unnest(range(0, (n + 4095) // 4096)) AS k FROM docs)),
+     windows AS (SELECT rid, base + i AS place, md5_number(substr(p, 2 * i + 1, 400)) AS w FROM (SELECT rid, base, p, unnest(range(0, least(4096, length(p) // 2 - 199))) AS i FROM parts WHERE length(p) >= 400)),
+     twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+     hits AS (SELECT rid, place FROM windows SEMI JOIN twice USING (w)),
+     starts AS (SELECT rid, place, CASE WHEN place - lag(place) OVER (PARTITION BY rid ORDER BY place) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits),
+     runs AS (SELECT rid, min(place) AS a, max(place) + 200 AS b FROM (SELECT rid, place, sum(fresh) OVER (PARTITION BY rid ORDER BY place) AS g FROM starts) GROUP BY rid, g),
+     gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS lo, a AS hi, b FROM runs),
+     kept AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) || substr(any_value(h), 2 * max(b) + 1) AS rest, sum(b - hi) AS removed, count(*) AS spans FROM gaps JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)""",
     "op7_quality_rules": rf"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, {_PLAIN} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
      windows AS (SELECT doc_id, i, w[i:i + 7] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8)),
