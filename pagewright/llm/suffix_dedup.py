@@ -4,8 +4,9 @@ A string of 200 bytes repeats only if its anchor does: the leftmost of its 64-by
 hash, which depends on the content alone. So:
 
 1. Each text is cut into runs of consecutive 200-byte windows that share an anchor (about one per 70
-   bytes). A run travels as the hash of its anchor and the hash of all its bytes, dealt by the former.
-2. Runs whose anchor is unique repeat nothing. Runs that occur whole in two places or more are repeated
+   bytes). A run travels as the hash of its anchor and a 128-bit cryptographic digest of all its bytes,
+   dealt by the former. Of runs that are equal within a part of a task one travels, and the others are known to repeat.
+2. Runs whose anchor is unique repeat nothing. Runs that occur whole in two places or more, by the digest, are repeated
    whole. Only where runs share an anchor but differ (at the ends of repeated passages) are bytes needed:
    one run of each kind is fetched from its text.
 3. There the suffixes that begin at the anchors are sorted by mergesort. Two suffixes are compared by
@@ -13,14 +14,18 @@ hash, which depends on the content alone. So:
    common lengths, checked against the bytes, split the sorted suffixes into classes for every length;
    windows that agree to the right of the anchor (same class) and to its left (same prefix hash, checked
    against the bytes) are repeated.
-4. The repeated runs of windows meet their texts again, and the bytes that they cover are removed.
+4. Anchors in very many different runs (a line that a third of all texts has, each in its own
+   surroundings) would make one large sort. A bounded sample names them; their windows travel one by one as
+   digests, dealt by the digest, so no task gets them all. The sample decides how windows travel, never what repeats.
+5. The repeated runs of windows meet their texts again, and the bytes that they cover are removed.
 
-Texts without a repeated run are never shuffled: a bitmap of fixed size tells them apart.
+Texts without a repeated run are never shuffled and never leave the JVM: a bitmap of fixed size tells them apart.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,32 +34,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, maybe_in, mix64, only, stash, unstash
+from .common import PolyHash, free_names, maybe_in, mix64, release, sliced, stash, tidy, unstash, with_key
 
 #: Bytes of a string that counts as repeated, and of its anchor.
 WINDOW, ANCHOR = 200, 64
 _GRAMS = WINDOW - ANCHOR + 1
 #: Window starts that are looked at together; positions within fit ``_AT`` bits.
-STEP, _AT = 1 << 19, 24
+STEP, _AT = 1 << 17, 24
 #: Runs that a bucket should hold about.
-BUCKET = 1 << 21
+BUCKET = 1 << 19
+#: Bytes of text whose runs are made together.
+PART = 4 << 20
+#: Hot anchors are those of so many different runs in a sample of texts: one in so many, and of so many bytes about at most.
+HOT_RUNS, HOT_ONE_IN, HOT_SAMPLE = 32, 16, 1 << 30
 _REMOVAL = np.dtype([("at", "<u4"), ("n", "<u4")])
 _REQUEST = np.dtype([("key", "<u8"), ("at", "<u4"), ("n", "u1"), ("rel", "u1")])
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: start, number of windows, anchor's offset, anchor hash, run hash, check hash.
+def anchor_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each 64-byte string: hashes of 8 bytes are mixed pairwise into those of 16, 32 and 64."""
+    out = mix64(np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).data, strides=(1,)).copy())
+    for step in (8, 16, 32):
+        out = mix64(out[:-step] * np.uint64(0x9E3779B97F4A7C15) + out[step:])
+    return out
+
+
+def runs(data: np.ndarray, ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: start, number of windows, anchor's offset, anchor hash.
 
     ``data``: the bytes of all texts, one after the other; ``ends``: where each text ends.
     """
     parts = []
-    end_of = np.repeat(ends, np.diff(np.r_[0, ends]))
-    for begin in range(0, max(0, len(data) - WINDOW + 1), STEP):
-        sub = data[begin : begin + STEP + WINDOW - 1]
+    for begin in range(0, max(0, len(data) - WINDOW + 1), step):
+        sub = data[begin : begin + step + WINDOW - 1]
         n = len(sub) - WINDOW + 1
-        first, second = PolyHash(sub, 1), PolyHash(sub, 2)
         grams = len(sub) - ANCHOR + 1
-        value = mix64((first.prefix[ANCHOR:] - first.prefix[:grams]) * first.inverse[:grams])
+        value = anchor_hashes(sub)
         ranked = value >> np.uint64(_AT) << np.uint64(_AT) | np.arange(grams, dtype=np.uint64)
         padded = np.full(-(-grams // _GRAMS) * _GRAMS, (1 << 64) - 1, np.uint64)
         padded[:grams] = ranked
@@ -62,21 +77,27 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         anchor = (np.minimum(behind[:n], ahead[_GRAMS - 1 : _GRAMS - 1 + n]) & np.uint64((1 << _AT) - 1)).astype(np.int64)
-        start = np.flatnonzero(np.arange(begin + WINDOW, begin + WINDOW + n) <= end_of[begin : begin + n])
+        inside = ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + n, "left") + 1]
+        end_of = np.repeat(inside, np.diff(np.r_[begin, np.minimum(inside, begin + n)]))
+        start = np.flatnonzero(np.arange(begin + WINDOW, begin + WINDOW + n) <= end_of)
         if not len(start):
             continue
         anchor = anchor[start]
         fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]
         lo, at = start[fresh], anchor[fresh]
         windows = start[np.r_[np.flatnonzero(fresh)[1:] - 1, len(start) - 1]] - lo + 1
-        rel, length = at - lo, windows + WINDOW - 1
-        shape = (length * 256 + rel).astype(np.uint64)
-        parts.append((lo + begin, windows, rel, value[at], mix64(first.span(lo, length) + shape * np.uint64(0x9E3779B97F4A7C15)), (mix64(second.span(lo, length)) >> np.uint64(32)).astype(np.uint32)))
+        parts.append((lo + begin, windows, at - lo, value[at]))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
+def digests(data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """128-bit digests of stretches of bytes, as two columns."""
+    raw = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + length).tolist(), strict=True)])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the ends of its values; nulls are empty."""
     column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
@@ -96,56 +117,96 @@ def _slices(order_by: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield order_by[a], a, b
 
 
-_RUNS = "bucket int, key binary, span binary, checks binary, doc binary, at binary, n binary, rel binary"
+_RUNS = "bucket int, key binary, d1 binary, d2 binary, doc_a binary, doc_b binary, at binary, n binary, rel binary"
+_TYPES = {"key": np.uint64, "d1": np.uint64, "d2": np.uint64, "doc_a": np.int64, "doc_b": np.int64, "at": np.uint32, "n": np.uint8, "rel": np.uint8}
 
 
-def _cut(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs = batch.column(0).to_numpy()
-        data, ends = _bytes_of(batch.column(1))
-        lo, windows, rel, key, span, check = runs(data, ends)
-        if not len(lo):
-            continue
-        which = np.searchsorted(ends, lo, "right")
-        at = (lo - np.r_[0, ends[:-1]][which]).astype(np.uint32)
-        bucket = (key & np.uint64(buckets - 1)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        columns = [x[order] for x in (key, span, check, docs[which], at, windows.astype(np.uint8), rel.astype(np.uint8))]
-        cuts = list(_slices(bucket[order]))
-        yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _, _ in cuts], pa.int32()), *(pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary()) for x in columns)], [c.split()[0] for c in _RUNS.split(", ")])
+def _packed(bucket: np.ndarray, x: dict[str, np.ndarray]) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    cuts = list(_slices(bucket[order]))
+    columns = {c: x[c][order].astype(t) for c, t in _TYPES.items()}
+    return pa.RecordBatch.from_arrays([pa.array([int(k) for k, _, _ in cuts], pa.int32()), *(pa.array([v[a:b].tobytes() for _, a, b in cuts], pa.binary()) for v in columns.values())], [c.split()[0] for c in _RUNS.split(", ")])
 
 
-def _by_doc(docs: np.ndarray, records: np.ndarray, kind: int) -> pd.DataFrame:
-    order = np.argsort(docs, kind="stable")
-    cuts = list(_slices(docs[order]))
-    records = records[order]
-    return pd.DataFrame({"doc": np.array([k for k, _, _ in cuts], np.int64), "kind": np.full(len(cuts), kind, np.int32), "body": [records[a:b].tobytes() for _, a, b in cuts]})
+def _first_of_kind(x: dict[str, np.ndarray], columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Masks: the first row of each kind (equal in ``columns``), and rows whose kind is found twice or more."""
+    order = np.lexsort([x[c] for c in columns])
+    new = np.r_[True, np.logical_or.reduce([x[c][order][1:] != x[c][order][:-1] for c in columns])] if len(order) else np.empty(0, bool)
+    kind = np.cumsum(new) - 1
+    first, twice = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order[new]] = True
+    if len(order):
+        twice[order] = np.bincount(kind)[kind] > 1
+    return first, twice
 
 
-def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray, part: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Packed runs, by bucket: runs by their anchor, then (after ``buckets``) what is known to repeat, then windows of hot anchors."""
+    for batch in sliced(batches, part):
+        data, ends = _bytes_of(batch.column(2))
+        lo, windows, rel, key = runs(data, ends, step)
+        if not len(lo):
+            continue
+        raw = data.tobytes()
+        is_hot = np.isin(key, hot)
+        cold = ~is_hot
+        parts = [(lo[cold], windows[cold], rel[cold], key[cold], windows[cold] + WINDOW - 1)]
+        if is_hot.any():
+            n = windows[is_hot]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ones = np.ones(len(inside), np.int64)
+            parts.append((np.repeat(lo[is_hot], n) + inside, ones, 0 * ones, np.repeat(key[is_hot], n), WINDOW * ones))
+        for place, (start, n, offset, anchor, length) in enumerate(parts):
+            if not len(start):
+                continue
+            which = np.searchsorted(ends, start, "right")
+            d = digests(raw, start, length)
+            x = {"key": anchor, "d1": d[:, 0], "d2": d[:, 1], "doc_a": batch.column(0).to_numpy()[which], "doc_b": batch.column(1).to_numpy()[which], "at": start - np.r_[0, ends[:-1]][which], "n": n, "rel": offset}
+            first, twice = _first_of_kind(x, ["d1", "d2", "rel", "n"])
+            goes = {c: v[first] for c, v in x.items()}
+            yield _packed(((goes["key"] if place == 0 else goes["d1"]) & np.uint64(buckets - 1)).astype(np.int32) + 2 * buckets * place, goes)
+            if twice.any():
+                known = {c: v[twice] for c, v in x.items()}
+                yield _packed((known["doc_a"].view(np.uint64) & np.uint64(buckets - 1)).astype(np.int32) + buckets, known)
+
+
+def _by_doc(x: dict[str, np.ndarray], records: np.ndarray, kind: int) -> pd.DataFrame:
+    order = np.lexsort((x["doc_b"], x["doc_a"]))
+    a, b, records = x["doc_a"][order], x["doc_b"][order], records[order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    return pd.DataFrame({"doc_a": a[starts], "doc_b": b[starts], "kind": np.full(len(starts), kind, np.int32), "body": [records[i:j].tobytes() for i, j in itertools.pairwise([*starts.tolist(), len(a)])]})
+
+
+def _removals(x: dict[str, np.ndarray], rows: np.ndarray) -> pd.DataFrame:
+    out = np.zeros(int(rows.sum()), _REMOVAL)
+    out["at"], out["n"] = x["at"][rows], x["n"][rows]
+    return _by_doc({c: x[c][rows] for c in ("doc_a", "doc_b")}, out, 0)
+
+
+def _sift(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Of a bucket: runs that repeat whole (kind 0), and one run of each kind that shares its anchor with others (kind 1)."""
-    kinds = {"key": np.uint64, "span": np.uint64, "checks": np.uint32, "doc": np.int64, "at": np.uint32, "n": np.uint8, "rel": np.uint8}
-    x = {c: np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in kinds.items()}
+    x = {c: np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in _TYPES.items()}
+    place = int(pdf["bucket"].iloc[0]) // buckets
+    if place == 1:
+        return _removals(x, np.ones(len(x["at"]), bool))
+    if place == 2:
+        return _removals(x, _first_of_kind(x, ["d1", "d2"])[1])
     ranked = np.sort(x["key"])
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    if not len(twice):
-        return pd.DataFrame({"doc": np.empty(0, np.int64), "kind": np.empty(0, np.int32), "body": np.empty(0, object)})
-    found = np.minimum(np.searchsorted(twice, x["key"]), len(twice) - 1)
-    x = {c: v[twice[found] == x["key"]] for c, v in x.items()}
-    order = np.lexsort((x["checks"], x["span"], x["key"]))
-    x = {c: v[order] for c, v in x.items()}
-    new_key = np.r_[True, x["key"][1:] != x["key"][:-1]]
-    new_kind = new_key | np.r_[True, (x["span"][1:] != x["span"][:-1]) | (x["checks"][1:] != x["checks"][:-1])]
-    kind = np.cumsum(new_kind) - 1
-    copies = np.bincount(kind)[kind]
-    kinds_of_key = np.bincount((np.cumsum(new_key) - 1)[new_kind])[np.cumsum(new_key) - 1]
-    whole, ask = copies > 1, new_kind & (kinds_of_key > 1)
-    removal = np.zeros(int(whole.sum()), _REMOVAL)
-    removal["at"], removal["n"] = x["at"][whole], x["n"][whole]
+    shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(shared):
+        return _removals(x, np.zeros(len(x["at"]), bool))
+    found = np.minimum(np.searchsorted(shared, x["key"]), len(shared) - 1)
+    x = {c: v[shared[found] == x["key"]] for c, v in x.items()}
+    first, twice = _first_of_kind(x, ["d1", "d2", "rel", "n", "key"])
+    keys, key = np.unique(x["key"], return_inverse=True)
+    ask = first & (np.bincount(key[first], minlength=len(keys))[key] > 1)
     request = np.zeros(int(ask.sum()), _REQUEST)
     for c in ("key", "at", "n", "rel"):
         request[c] = x[c][ask]
-    return pd.concat([_by_doc(x["doc"][whole], removal, 0), _by_doc(x["doc"][ask], request, 1)])
+    out = pd.concat([_removals(x, twice), _by_doc({c: x[c][ask] for c in ("doc_a", "doc_b")}, request, 1)])
+    del x, ranked, shared, found, first, twice, keys, key, ask, request
+    release()
+    return out
 
 
 class SuffixSorter:
@@ -270,40 +331,62 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     _, last = np.nonzero(edge == -1)
     removal = np.zeros(len(row), _REMOVAL)
     removal["at"], removal["n"] = pdf["at"].to_numpy(np.int64)[row] + first, last - first
-    return _by_doc(pdf["doc"].to_numpy(np.int64)[row], removal, 0)[["doc", "body"]]
+    return _by_doc({c: pdf[c].to_numpy(np.int64)[row] for c in ("doc_a", "doc_b")}, removal, 0)[["doc_a", "doc_b", "body"]]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that are asked for."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[tuple] = []
-        for doc, text, bodies in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            text, doc = text.as_py().encode(), doc.as_py()
+        for a, b, text, bodies in zip(*batch.columns, strict=True):
+            text, a, b = text.as_py().encode(), a.as_py(), b.as_py()
             for body in bodies.as_py():
                 for key, at, n, rel in np.frombuffer(body, _REQUEST).tolist():
-                    out.append(((key >> 32) & (buckets - 1), key - (key >> 63 << 64), doc, at, n, rel, text[at : at + n + WINDOW - 1]))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "key", "doc", "at", "n", "rel", "bytes"])
+                    out.append(((key >> 32) & (buckets - 1), key - (key >> 63 << 64), a, b, at, n, rel, text[at : at + n + WINDOW - 1]))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "key", "doc_a", "doc_b", "at", "n", "rel", "bytes"])
+
+
+def hot_anchors(texts: DataFrame, n_bytes: int) -> np.ndarray:
+    """Anchor hashes that ``HOT_RUNS`` different runs of the sample have; ascending. The sample is drawn by the texts' hashes."""
+    share = min(1 / HOT_ONE_IN, HOT_SAMPLE / max(n_bytes, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, PART):
+            data, ends = _bytes_of(batch.column(2))
+            lo, windows, _, key = runs(data, ends)
+            if not len(lo):
+                continue
+            d = digests(data.tobytes(), lo, windows + WINDOW - 1)
+            pairs = np.unique(np.stack((key, d[:, 0])), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["key", "run"])
 
+    drawn = texts.filter(F.pmod(F.col("doc_b"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    kinds = drawn.mapInArrow(tidy(run), "key bigint, run bigint").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    found = kinds.filter(F.col("n") >= HOT_RUNS).select("key").toPandas()["key"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
 
-def repeated_runs(keyed: DataFrame, text_col: str) -> DataFrame:
-    """Stored rows ``doc``, ``body``: runs of repeated windows (start and number, packed) of the texts.
 
-    ``keyed`` has ``_pw_doc`` (a hash of id and text) and the text.
+def repeated_runs(keyed: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Stored rows ``doc_a``, ``doc_b``, ``body``: runs of repeated windows (start and number, packed) of the texts.
+
+    ``keyed`` has a key (see ``with_key``) of id and text, and the text.
     """
-    texts = keyed.select("_pw_doc", text_col)
-    n_bytes = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    doc = [F.col(key)[c].alias(f"doc_{c}") for c in "ab"]
+    texts = keyed.select(*doc, F.col(text_col).alias("body"))
+    n_bytes = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = 1 << max(5, (n_bytes // 70 // BUCKET).bit_length())
-    found = stash(texts.mapInArrow(lambda it: _cut(it, buckets), _RUNS).groupBy("bucket").applyInPandas(_sift, "doc bigint, kind int, body binary"), "runs")
-    asked = found.filter("kind = 1").groupBy("doc").agg(F.collect_list("body").alias("bodies"))
-    maybe = maybe_in(found.filter("kind = 1").select("doc").distinct())
-    near = texts.mapInArrow(only(maybe, True), texts.schema)
-    fetched = near.join(asked, F.col("_pw_doc") == F.col("doc")).select("doc", text_col, "bodies").mapInArrow(lambda it: _fetch(it, 4 * buckets), "bucket int, key bigint, doc bigint, at bigint, n int, rel int, bytes binary")
-    ends = fetched.groupBy("bucket").applyInPandas(_sort_bucket, "doc bigint, body binary")
-    out = stash(found.filter("kind = 0").select("doc", "body").unionByName(ends), "repeats")
+    hot = texts.sparkSession.sparkContext.broadcast(hot_anchors(texts, n_bytes))
+    out = "doc_a bigint, doc_b bigint, kind int, body binary"
+    found = stash(texts.mapInArrow(tidy(lambda it: _cut(it, buckets, hot.value, PART, STEP)), _RUNS).groupBy("bucket").applyInPandas(lambda pdf: _sift(pdf, buckets), out), "runs")
+    asked = found.filter("kind = 1").groupBy("doc_a", "doc_b").agg(F.collect_list("body").alias("bodies"))
+    maybe = maybe_in(found.filter("kind = 1").select("doc_a"))
+    fetched = texts.filter(maybe("doc_a")).join(asked, ["doc_a", "doc_b"]).select("doc_a", "doc_b", F.col("body").alias("text"), "bodies").mapInArrow(tidy(lambda it: _fetch(it, 4 * buckets)), "bucket int, key bigint, doc_a bigint, doc_b bigint, at bigint, n int, rel int, bytes binary")
+    ends = fetched.groupBy("bucket").applyInPandas(_sort_bucket, "doc_a bigint, doc_b bigint, body binary")
+    repeats = stash(found.filter("kind = 0").select("doc_a", "doc_b", "body").unionByName(ends), "repeats")
     unstash(found)
-    return out
+    return repeats
 
 
 def removed_intervals(bodies: list[bytes]) -> list[tuple[int, int]]:
@@ -325,24 +408,20 @@ def _kept(data: bytes, intervals: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _applied(docs: DataFrame, id_col: str, text_col: str, columns: list[str], make, schema) -> DataFrame:
-    """``make(rest of the batch, texts, intervals per row)`` over all rows, those with repeats joined with them."""
-    keyed = docs.select(F.xxhash64(id_col, text_col).alias("_pw_doc"), F.col(text_col).alias("_pw_text"), *columns)
-    repeats = repeated_runs(keyed, "_pw_text")
-    maybe = maybe_in(repeats.select("doc").distinct())
+def _parted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """The rows that surely hold no repeat; the others, with the packed runs of each; and the name of that column."""
+    keyed, key = with_key(docs, id_col, text_col)
+    repeats = repeated_runs(keyed, key, text_col)
+    maybe = maybe_in(repeats.select("doc_a"))
+    bodies, a, b = free_names(keyed, "_pw_bodies", "_pw_a", "_pw_b")
+    packed = repeats.groupBy(F.col("doc_a").alias(a), F.col("doc_b").alias(b)).agg(F.collect_list("body").alias(bodies))
+    rows = keyed.filter(maybe(F.col(key)["a"]))
+    near = rows.join(packed, (F.col(key)["a"] == F.col(a)) & (F.col(key)["b"] == F.col(b)), "left").select(*(F.col(c) for c in docs.columns), bodies)
+    return keyed.filter(~maybe(F.col(key)["a"])).drop(key), near, bodies
 
-    def plain(batches):
-        for batch in only(maybe, False)(batches):
-            yield make(batch.select(columns), batch.column(1), [()] * batch.num_rows)
 
-    def cut(batches):
-        for batch in batches:
-            at = batch.num_columns - 1
-            yield make(batch.select(columns), batch.column(1), [removed_intervals(b.as_py()) if b.is_valid else () for b in batch.column(at)])
-
-    bodies = repeats.groupBy("doc").agg(F.collect_list("body").alias("_pw_bodies")).withColumnRenamed("doc", "_pw_runs_of")
-    near = keyed.mapInArrow(only(maybe, True), keyed.schema).join(bodies, F.col("_pw_doc") == F.col("_pw_runs_of"), "left").select("_pw_doc", "_pw_text", *columns, "_pw_bodies")
-    return keyed.mapInArrow(plain, schema).unionByName(near.mapInArrow(cut, schema))
+def _intervals(bodies: pa.Scalar) -> list[tuple[int, int]]:
+    return removed_intervals(bodies.as_py()) if bodies.is_valid else []
 
 
 def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,23 +429,27 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A null text counts as empty; texts under 200 bytes lose nothing. Repeated rows are documents of their
     own, so their texts repeat one another. A null id is an id like any other. Other columns are ignored;
-    an empty table gives no rows. Documents are told apart by 64-bit hashes of id and text.
+    an empty table gives no rows. Documents are told apart by 128 bits of hashes of id and text.
     """
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-
-    def make(rest: pa.RecordBatch, texts: pa.Array, intervals: list) -> pa.RecordBatch:
-        size, removed, spans, digest = [], [], [], []
-        for text, cuts in zip(texts, intervals, strict=True):
-            data = (text.as_py() or "").encode()
-            kept = _kept(data, cuts) if cuts else data
-            size.append(len(data))
-            removed.append(len(data) - len(kept))
-            spans.append(len(cuts))
-            digest.append(hashlib.sha256(kept).hexdigest())
-        return pa.RecordBatch.from_arrays([rest.column(0), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(digest, pa.string())], names)
+    plain, near, bodies = _parted(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            size, removed, spans, digest = [], [], [], []
+            for text, packed in zip(batch.column(1), batch.column(2), strict=True):
+                data, cuts = (text.as_py() or "").encode(), _intervals(packed)
+                kept = _kept(data, cuts)
+                size.append(len(data))
+                removed.append(len(data) - len(kept))
+                spans.append(len(cuts))
+                digest.append(hashlib.sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(digest, pa.string())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _applied(docs, id_col, text_col, [id_col], make, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    whole = plain.select(F.col(id_col), F.octet_length(data).cast("bigint").alias("n_bytes"), *(F.lit(0).cast("bigint").alias(c) for c in names[2:4]), F.sha2(data, 256).alias("kept_sha256"))
+    return whole.unionByName(near.select(F.col(id_col), F.col(text_col), bodies).mapInArrow(tidy(cut), f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,11 +459,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``removal_digests``.
     """
     place = docs.columns.index(text_col)
+    plain, near, _ = _parted(docs, id_col, text_col)
 
-    def make(rest: pa.RecordBatch, texts: pa.Array, intervals: list) -> pa.RecordBatch:
-        new = [_kept(t.as_py().encode(), cuts).decode("utf-8", "ignore") if cuts else t.as_py() for t, cuts in zip(texts, intervals, strict=True)]
-        columns = list(rest.columns)
-        columns[place] = pa.array(new, rest.schema.field(place).type)
-        return pa.RecordBatch.from_arrays(columns, rest.schema.names)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            cuts = [_intervals(b) for b in batch.column(batch.num_columns - 1)]
+            new = [_kept(t.as_py().encode(), c).decode("utf-8", "ignore") if c else t.as_py() for t, c in zip(batch.column(place), cuts, strict=True)]
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(new, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return _applied(docs, id_col, text_col, docs.columns, make, docs.schema)
+    return plain.unionByName(near.mapInArrow(tidy(cut), docs.schema))
