@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,12 @@ _ALNUM = bytes(
 )
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # no glibc
+    _trim = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +62,23 @@ def sliced(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa
             yield batch.slice(int(a), int(b - a))
 
 
+def release() -> None:
+    """Gives unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The batch function with ``release`` at its end: Python workers outlive their tasks, several beside a busy one."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def free_names(frame: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to clash with no column of ``frame``."""
     taken = {c.lower() for c in frame.columns}
@@ -82,20 +107,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths that a ``scope`` has to clear, innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors: nothing is recomputed and no block lives on one
-    machine only. The folder goes away with the driver's JVM.
+    machine only. All tables of an application lie in one folder named by it, which goes away with the
+    driver's JVM; after a driver that was killed that one folder can be removed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pagewright-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, files = _path(spark, folder)
+    files.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)
     back._pagewright_path = path
+    if _scopes:
+        _scopes[-1].append((spark, path))
     return back
 
 
@@ -104,9 +141,22 @@ def unstash(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_pagewright_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = _path(df.sparkSession, path)
+            files.delete(where, True)
+
+
+@contextmanager
+def scope(kept: list[DataFrame]) -> Iterator[None]:
+    """Drops every table that was stored within, but those that the caller has put into ``kept`` by its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        staying = {getattr(df, "_pagewright_path", None) for df in kept}
+        for spark, path in _scopes.pop():
+            if path not in staying:
+                where, files = _path(spark, path)
+                files.delete(where, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -219,7 +269,7 @@ def merged_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
                 chosen = some[at : at + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(chosen + 1, pa.int64()), pa.array([parts[k].tobytes() for k in chosen], pa.binary())], ["place", "part"])
 
-        merged = rows.mapInArrow(fill, "place bigint, part binary").groupBy("place").agg(F.bitmap_or_agg("part").alias("part"))
+        merged = rows.mapInArrow(tidy(fill), "place bigint, part binary").groupBy("place").agg(F.bitmap_or_agg("part").alias("part"))
     else:
         at = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
         merged = rows.groupBy(F.bitmap_bucket_number(at).alias("place")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("part"))

@@ -13,15 +13,15 @@ terms agree.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, sliced, stash, unstash, with_key, without
+from .common import alnum_words, scope, stash, tidy, unstash, with_key, without
 
 WINDOW = 13
 #: A document is contaminated if its hit words are at least one in so many.
@@ -196,16 +196,16 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             if ids:
                 yield segment(ids, texts, batch.column(0).type)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"ids array<{kind}>, {_SEGMENT}")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"ids array<{kind}>, {_SEGMENT}")
 
 
 def _loaded(batch: pa.RecordBatch, row: int) -> Segment:
     return Segment(*(np.frombuffer(batch.column(1 + k)[row].as_buffer(), t) for k, t in enumerate(Segment.FIELDS.values())))
 
 
-def mark(index: DataFrame, items: list[tuple[str, str | None]], width: int = WINDOW) -> DataFrame:
-    """The index with the words marked that lie in occurrences of the items' windows, and the items found."""
-    windows = index.sparkSession.sparkContext.broadcast(items)
+def _marking(spark: SparkSession, items: list[tuple[str, str | None]], width: int = WINDOW) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of index rows that marks the words in occurrences of the items' windows, and adds the items found."""
+    windows = spark.sparkContext.broadcast(items)
     made: dict[int, Windows] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def mark(index: DataFrame, items: list[tuple[str, str | None]], width: int = WIN
                 new = [pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([[d for d, _ in pairs]], pa.list_(pa.int32())), pa.array([[i for _, i in pairs]], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*one.columns[:5], *new], one.schema.names)
 
-    return index.mapInArrow(run, index.schema)
+    return run
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
@@ -256,21 +256,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     ignored; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    index = build_index(docs, id_col=id_col, text_col=text_col)
+    index = stash(build_index(docs, id_col=id_col, text_col=text_col), "index")
     blocks = _blocks(items, item_col, item_text_col)
-    block = next(blocks, None)
-    while block is not None:
+    block, search = next(blocks, []), None
+    while search is None:
         following = next(blocks, None)
-        marked = mark(index, block)
-        if following is not None:  # blocks take turns: one broadcast and one stored index at a time
-            stored = stash(marked, "index")
+        found = _marking(docs.sparkSession, block)
+        if following is None:
+            search = found
+        else:  # blocks take turns: one broadcast and one marked index at a time
+            marked = stash(index.mapInArrow(tidy(found), index.schema), "index")
             unstash(index)
-            marked = stored
-        index, block = marked, following
+            index, block = marked, following
     names = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in search(batches):
+            batch = batch.select(["ids", "ends", "hit", "found_doc", "found_item"])
             for row in range(batch.num_rows):
                 ends = np.frombuffer(batch.column(1)[row].as_buffer(), np.int64)
                 starts = np.r_[0, ends[:-1]]
@@ -282,7 +284,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(digest, pa.string()), pa.array((hit > 0) & (HIT_SHARE * hit >= words), pa.bool_())], names)
 
-    return index.select("ids", "ends", "hit", "found_doc", "found_item").mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return index.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def matches(index: DataFrame, items: DataFrame, *, slop: int = 0, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -320,5 +322,8 @@ def matches(index: DataFrame, items: DataFrame, *, slop: int = 0, item_col: str
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns but those of contaminated documents; cases as in ``contamination``."""
     keyed, key = with_key(docs, id_col, text_col)
-    found = stash(contamination(keyed, items, id_col=key, text_col=text_col).filter("contaminated").select(key).distinct(), "contaminated")
+    kept: list[DataFrame] = []
+    with scope(kept):  # the index goes as soon as the verdicts are there
+        found = stash(contamination(keyed, items, id_col=key, text_col=text_col).filter("contaminated").select(key).distinct(), "contaminated")
+        kept.append(found)
     return without(keyed, key, found).drop(key)

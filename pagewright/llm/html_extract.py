@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import sliced
+from .common import sliced, tidy
 
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -422,4 +422,4 @@ def main_text(pages: DataFrame, model: BoostedTrees, *, id_col: str = "page_id",
             texts = extract([t.as_py() for t in part.column(2)], shared.value)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
+    return pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(tidy(run), f"`{id_col}` {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, in_bitmap, maybe_in, merged_bitmap, mix64, plain_words, sliced, stash, unstash, with_key, without
+from .common import free_names, in_bitmap, maybe_in, merged_bitmap, mix64, plain_words, release, sliced, stash, tidy, unstash, with_key, without
 from .components import connected_components
 
 SHINGLE = 5
@@ -56,7 +56,7 @@ CLASS_BITS = 1 << 27
 #: The classes of frequent tokens begin at these multiples of the least frequent count.
 CLASSES = (1, 16, 256)
 #: Postings that are packed at a time, and how many a bucket should hold about.
-CHUNK, BUCKET = 1 << 17, 1 << 19
+CHUNK, BUCKET = 1 << 18, 1 << 19
 #: Tokens of a block of members, about, each member counting as ``LEAST`` at least; and from which on a token is counted densely.
 BLOCK, LEAST, DENSE = 1 << 18, 256, 24
 _K = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -189,7 +189,7 @@ def _counted(texts: DataFrame, buckets: int, salt: int) -> DataFrame:
                     rows.append((at, halves[a:b][~many].tobytes(), np.stack((halves[a:b][many], counts[a:b][many].astype(np.uint32))).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["bucket", "tokens", "more"])
 
-    return texts.mapInArrow(run, _PACKED)
+    return texts.mapInArrow(tidy(run), _PACKED)
 
 
 def _frequent(packed: DataFrame, buckets: int, limits: list[int]) -> DataFrame:
@@ -208,7 +208,10 @@ def _frequent(packed: DataFrame, buckets: int, limits: list[int]) -> DataFrame:
         sums = np.add.reduceat(counts, starts, dtype=np.int64)
         ids = half[starts].astype(np.uint64) * np.uint64(buckets) | np.uint64(at)
         rows = [(x, int((sums > x).sum()), ids[sums > x].tobytes()) for x in limits]
-        return pd.DataFrame([r for r in rows if r[1]], columns=["above", "n", "ids"]).astype({"above": "int64", "n": "int64"})
+        out = pd.DataFrame([r for r in rows if r[1]], columns=["above", "n", "ids"]).astype({"above": "int64", "n": "int64"})
+        del once, many, half, order, counts, starts, sums, ids, rows
+        release()
+        return out
 
     return packed.groupBy("bucket").applyInPandas(run, "above bigint, n bigint, ids binary")
 
@@ -252,16 +255,12 @@ def _neighbourhoods(packed: DataFrame) -> DataFrame:
         order = np.lexsort((who, centre))
         centre, who = centre[order], who[order]
         fresh = np.r_[True, (centre[1:] != centre[:-1]) | (who[1:] != who[:-1])] if len(who) else np.empty(0, bool)
-        centre, who = centre[fresh], who[fresh]
-        step = 1 << 12
-        return pd.DataFrame({"centres": [centre[at : at + step].tobytes() for at in range(0, len(who), step)], "ids": [who[at : at + step].tobytes() for at in range(0, len(who), step)]})
+        out = pd.DataFrame({"centre": centre[fresh], "id": who[fresh]})
+        del key, who, centre, order, some
+        release()
+        return out
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in row], ["centre", "id"])
-
-    return packed.groupBy("bucket").applyInPandas(run, "centres binary, ids binary").mapInArrow(unpacked, "centre bigint, id bigint").distinct()
+    return packed.groupBy("bucket").applyInPandas(run, "centre bigint, id bigint").distinct()
 
 
 def _links_of(shared: int, x: int, y: int) -> bool:
@@ -294,16 +293,19 @@ def _sifted(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
     left = sets.select(F.col("set_id").alias("a"), F.col(column).alias("_x"))
     right = sets.select(F.col("set_id").alias("b"), F.col(column).alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.
+    """The pairs (a, b) that link, stored.
 
     First by the tokens' upper 16 bits: equal tokens have equal ones, so what these have in common is never
     less than what the sets share, and a quarter of the bytes clears most pairs. The rest meet as whole sets.
     """
-    return _sifted(_sifted(pairs, sets, "coarse"), sets, "tokens")
+    likely = stash(_sifted(pairs, sets, "coarse"), "likely")
+    links = stash(_sifted(likely, sets, "tokens"), "links")
+    unstash(likely)
+    return links
 
 
 def _star_pairs(near: DataFrame) -> DataFrame:
@@ -439,12 +441,12 @@ def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             ids = [set_id(t, salt) if len(t) else (None, None) for t in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), *(pa.array([x[k] for x in ids], pa.int64()) for k in (0, 1))], names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, set_id bigint, set_check bigint")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_shingles bigint, set_id bigint, set_check bigint")
 
 
 def _links(texts: DataFrame, n_tokens: int, salt: int) -> DataFrame | None:
     """Component roots of the sets that have links: ``id``, ``root``; stored."""
-    buckets = 1 << max(4, (n_tokens // 4 // BUCKET).bit_length())
+    buckets = 1 << max(4, (n_tokens // BUCKET).bit_length())
 
     bitmaps = _ranks(texts, n_tokens, buckets, salt)
 
@@ -452,7 +454,7 @@ def _links(texts: DataFrame, n_tokens: int, salt: int) -> DataFrame | None:
         for key, who in _chunks((k, combination_prefix(t, _rank(t, buckets, bitmaps.value))) for k, t in _distinct_sets(batches, salt) if len(t) > 3):
             yield _by_bucket(key, buckets, who)
 
-    near = stash(_neighbourhoods(texts.mapInArrow(indexed, _PACKED)), "near")
+    near = stash(_neighbourhoods(texts.mapInArrow(tidy(indexed), _PACKED)), "near")
     pairs = stash(_star_pairs(near), "pairs")
     n_pairs = pairs.count()
     if not n_pairs:
@@ -477,8 +479,8 @@ def _links(texts: DataFrame, n_tokens: int, salt: int) -> DataFrame | None:
         if ids:
             yield row()
 
-    sets = stash(texts.mapInArrow(whole, "set_id bigint, tokens binary, coarse binary, n bigint, own bigint").dropDuplicates(["set_id"]), "sets")
-    edges = stash(_verified(pairs, sets), "links")
+    sets = stash(texts.mapInArrow(tidy(whole), "set_id bigint, tokens binary, coarse binary, n bigint, own bigint").dropDuplicates(["set_id"]), "sets")
+    edges = _verified(pairs, sets)
     roots = stash(connected_components(edges), "roots")
     unstash(edges)
     members = stash(near.join(sets.select(F.col("set_id").alias("id"), "n", "own"), "id"), "members")
@@ -489,7 +491,7 @@ def _links(texts: DataFrame, n_tokens: int, salt: int) -> DataFrame | None:
             extra = stash(_block_links(apart, sets), "links")
         else:
             rest = stash(_centre_pairs(apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
-            extra = stash(_verified(rest, sets), "links")
+            extra = _verified(rest, sets)
             unstash(rest)
         if not extra.isEmpty():
             # Components are kept by their stars, so only these and the new links are contracted again.

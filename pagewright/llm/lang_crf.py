@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sliced
+from .common import held_out, sliced, tidy
 from .crf import Adam, Chains, observed_transitions
 
 #: Expected number of documents of each language that the model is fitted to, chosen by a hash of their ids.
@@ -187,4 +187,4 @@ def identify(docs: DataFrame, languages: list[str], weights: dict[str, np.ndarra
             pred = [names[t] if n > 0 else "und" for t, n in zip(top, total, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(switches, pa.int64())], [id_col, "held_out", "lang_pred", "score", "n_switches"])
 
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held_out"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, n_switches bigint")
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held_out"), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, n_switches bigint")

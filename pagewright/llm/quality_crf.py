@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, held_out, sliced
+from .common import PolyHash, held_out, sliced, tidy
 from .crf import Adam, Chains, observed_transitions
 
 #: Expected number of labelled documents that the model is fitted to; their ids are chosen by hash.
@@ -169,4 +169,4 @@ def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray], *, id_col: s
                 score = scores(shared.value, *line_features(*_bytes(batch.column(2))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())], [id_col, "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held_out"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held_out"), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")

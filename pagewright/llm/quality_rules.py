@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, sliced, stash, with_key, without
+from .common import BLANKS, sliced, stash, tidy, with_key, without
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +84,7 @@ def document_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             rows = [rule_counts(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(6))], names)
 
-    counted = docs.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, host string, " + ", ".join(f"{n} bigint" for n in names[2:]))
+    counted = docs.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, host string, " + ", ".join(f"{n} bigint" for n in names[2:]))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     soft = (100 * F.col("n_symbols") > MAX_SYMBOL_PCT * F.col("n_words")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PCT * F.col("n_lines"))
     return counted.withColumn("base_failed", base).withColumn("failed", base | soft)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,26 @@ from .common import table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
+#: Bytes of an Arrow batch in the registered jobs: Spark's own 64 MB, held twice outside the heap by every task, are much for long texts.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def job(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A registered query or pipeline stage: where the session has no bound of Arrow batches of its own, the job sets one.
+
+    Operators change no setting, and work with batches of any size; this bounds what a task holds beside the heap.
+    """
+
+    @wraps(function)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.conf.get(_BATCH_SETTING, None) is None:
+            spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+        return function(spark, *args)
+
+    return run
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -64,4 +85,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_quality_classifier, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op8_language_id, op9_html_extract, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: job(f) for f in (op1_decontaminate, op2_token_counts, op3_quality_classifier, op4_bpe_codec, op5_chat_format, op6_suffix_dedup, op7_quality_rules, op8_language_id, op9_html_extract, op10_jaccard_join)}

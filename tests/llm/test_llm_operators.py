@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
-from pagewright.llm import bpe, chat, decontaminate, html_extract, jaccard_join, lang_crf, quality_crf, quality_rules, queries, suffix_dedup
+from pagewright.llm import boosting, bpe, chat, common, components, decontaminate, html_extract, jaccard_join, lang_crf, quality_crf, quality_rules, queries, suffix_dedup
 from pagewright.llm.components import connected_components
+from pagewright.llm.crf import Chains
 from pyspark.sql import functions as F
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -183,21 +184,71 @@ def test_jaccard_join_equals_brute_force(monkeypatch, docs, corpus, empty, frequ
 
 
 def test_combination_prefixes_share_an_entry():
+    """For linked sets, with all classes: found once (-1, never shared), rare (0) and frequent ones (1 to 3)."""
     rng = np.random.default_rng(5)
-    for _ in range(300):
+    linked = 0
+    for _ in range(600):
         n = int(rng.integers(4, 300))
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = a.copy()
         gone = rng.permutation(len(b))[: rng.integers(0, max(1, len(b) // 9))]
         b = np.unique(np.concatenate([np.delete(b, gone), rng.integers(0, 1 << 63, rng.integers(0, max(1, len(b) // 9))).astype(np.uint64)]))
-        shared = len(np.intersect1d(a, b))
-        if 100 * shared >= 80 * (len(a) + len(b) - shared):
-            share = rng.random()
-            frequent = lambda x, s=share: (x % np.uint64(1000)).astype(float) / 1000 < s
-            assert len(np.intersect1d(jaccard_join.combination_prefix(a, frequent(a)), jaccard_join.combination_prefix(b, frequent(b))))
-
-
-def test_components_of_chains_and_hubs(spark):
+        shared = np.intersect1d(a, b)
+        if 100 * len(shared) >= 80 * (len(a) + len(b) - len(shared)):
+            linked += 1
+            shares = np.sort(rng.random(3))
+            place = lambda x: (x % np.uint64(1000)).astype(float) / 1000
+            alone = lambda x, s=shared: ~np.isin(x, s) & (x % np.uint64(7) < 5)  # noqa: E731  of the tokens of one set only, some are found once
+            rank = lambda x, s=shares: np.where(alone(x), -1, (place(x)[:, None] < s).sum(axis=1)).astype(np.int8)
+            assert len(np.intersect1d(jaccard_join.combination_prefix(a, rank(a)), jaccard_join.combination_prefix(b, rank(b))))
+    assert linked > 200
+
+
+def test_forest_of_links_makes_the_same_components():
+    rng = np.random.default_rng(6)
+    for trial in range(30):
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(60) > rng.random() * 0.3], rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(rng.integers(2, 70))]
+        shared = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+        assert np.array_equal(jaccard_join.shared_tokens(sets) * (1 - np.eye(len(sets), dtype=int)), shared * (1 - np.eye(len(sets), dtype=int)))
+        roots, outside, inside = rng.integers(0, 9, len(sets)), rng.random(len(sets)) < 0.5, bool(trial % 2)
+
+        def components(pairs, roots=roots):
+            up = {int(r): int(r) for r in roots}
+            find = lambda k: k if up[k] == k else find(up[k])
+            for x, y in pairs:
+                up[find(int(roots[x]))] = find(int(roots[y]))
+            return [min(q for q in up if find(q) == find(int(r))) for r in roots]
+
+        every = [(x, y) for x in range(len(sets)) for y in range(len(sets)) if outside[x] and (not outside[y] or inside) and x != y and 100 * shared[x, y] >= 80 * (len(sets[x]) + len(sets[y]) - shared[x, y])]
+        found = jaccard_join.forest_of_links(sets, roots, outside, inside)
+        assert set(found) <= set(every) and len(found) < 9 and components(found) == components(every)
+
+
+def test_blocks_of_a_neighbourhood(monkeypatch, docs, corpus):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 512)  # blocks of two members
+    monkeypatch.setattr(jaccard_join, "_centre_pairs", lambda apart: apart.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "_star_pairs", lambda near, f=jaccard_join._star_pairs: f(near).filter("pmod(xxhash64(b), 3) = 0"))
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect()) == sorted(brute_jaccard(corpus))
+
+
+def test_sets_that_share_an_id_get_another_salt(monkeypatch, docs, corpus):
+    real, salts = jaccard_join.document_sets, []
+
+    def clashing(frame, *, salt=0, **names):
+        salts.append(salt)
+        out = real(frame, salt=salt, **names)
+        return out if salt > 1 else out.withColumn("set_id", F.when(F.col("set_id").isNotNull(), F.col("set_id") % 50))
+
+    monkeypatch.setattr(jaccard_join, "document_sets", clashing)
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect()) == sorted(brute_jaccard(corpus))
+    assert salts == [0, 1, 2]
+
+
+@pytest.mark.parametrize("hub_edges", [1 << 20, 1])
+def test_components_of_chains_and_hubs(spark, monkeypatch, hub_edges):
+    monkeypatch.setattr(components, "HUB_EDGES", hub_edges)
+    monkeypatch.setattr(components, "HUBS", 8)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 200), (None, 5), (31, 30)]
     got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
@@ -361,15 +412,227 @@ def test_decoding_has_no_contradictions_and_is_accurate():
     assert wrong / total < 0.02
 
 
-def test_pipeline_stages_on_a_small_table(spark, docs, sf_dir, corpus):
+def test_pipeline_equals_brute_force(spark, docs, corpus, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    bench = [(1, " ".join(corpus[30][1].split()[:30])), (2, " ".join(corpus[60][1].split()[:20])), (3, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    plain.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def failures(text):
+        words = (text or "").encode().split()
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        counts = collections.Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if counts[w] > 1 for j in range(8)}
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        base = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        symbols = sum((text or "").count(c) for c in "#*$%&|<>")
+        return base, base or 100 * symbols > 50 * len(words) or 100 * (len(lines) - len(set(lines))) > 50 * len(lines)
+
+    by_host = collections.defaultdict(list)
+    for r in corpus:
+        by_host[r[3]].append(failures(r[1])[1])
+    rates = [sum(v) / len(v) for v in by_host.values()]
+    mean = sum(rates) / len(rates)
+    var = sum((x - mean) ** 2 for x in rates) / len(rates)
+    weight = mean * (1 - mean) / var - 1 if 0 < var < mean * (1 - mean) else 10
+    good = {h for h, v in by_host.items() if (sum(v) + mean * weight) / (len(v) + weight) <= 0.5}
+    rows = [r for r in corpus if not failures(r[1])[0] and r[3] in good]
+    least, seen = {d: c for d, n, c in brute_jaccard(rows)}, set()
+    rows = [r for r in rows if least[r[0]] == r[0] and not (r[0] in seen or seen.add(r[0]))]
+    cut = [(r[0], x[5].decode("utf-8", "ignore"), *r[2:]) for r, x in zip(rows, brute_suffix(rows), strict=True)]
+    windows = brute_windows([(str(i), t) for i, t in bench])
+
+    def contaminated(text):
+        words = decontaminate.alnum_words(text.encode())
+        hit = {k + j for n in {len(w) for w in windows} for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in windows for j in range(n)}
+        return bool(hit) and 20 * len(hit) >= len(words)
+
+    clean = [r for r in cut if not contaminated(r[1])]
+    assert len(corpus) > len(rows) > len(clean) > 0 and any(a[1] != b[1] for a, b in zip(rows, cut, strict=True))
+    ids = {r[0]: library.encode(r[1], add_special_tokens=False).ids for r in clean}
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == ids
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, plain, sf_dir)
-        assert out.columns == plain.columns, name
-        plain = spark.createDataFrame(out.collect(), plain.schema)
-    assert 0 < plain.count() < len(corpus)
-    last = corpus_pipeline.STAGES[-1][1](spark, plain, sf_dir).collect()
-    assert len(last) == plain.count() and all(r.round_trip and len(r.ids) == r.n_tokens for r in last)
-    assert corpus_pipeline.STAGES[0][1](spark, plain.limit(0), sf_dir).count() == 0
+        plain = spark.createDataFrame(stage(spark, plain, str(tmp_path)).collect(), plain.schema)
+        assert plain.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(clean)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark, corpus):
+    names = ["_pw_key", "_pw_text", "_pw_doc", "_pw_bodies", "_PW_A", "set_id", "_first", "doc_a", "body", "place", "kept", "host", "_key", "_id"]
+    rows = spark.createDataFrame(corpus[55:80] + corpus[120:], DOCS).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string").withColumn("_pw_key", F.lit(0))
+    for stage in (quality_rules.drop_rejected, jaccard_join.keep_one_per_component, suffix_dedup.remove_repeats, lambda d: decontaminate.drop_contaminated(d, items)):
+        out = stage(rows)
+        assert out.columns == rows.columns and all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in out.collect())
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([("x", None), (None, "x"), ("x", ""), ("", "x"), ("x", "x"), ("x", "x")], "a string, b string")
+    keyed, key = common.with_key(rows, "a", "b")
+    assert key == "_pw_key" and keyed.select(key).distinct().count() == 5 and common.with_key(keyed, "a")[1] == "__pw_key"
+
+
+def test_slices_and_bitmaps(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (900 if k == 7 else 10) for k in range(40)])], ["k", "t"])
+    parts = list(common.sliced(iter([batch, batch.slice(0, 0)]), 200))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) < 20 < sum(p.num_rows for p in parts)
+    values = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 500)
+    frame = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(5)
+    for rows in (frame, spark.createDataFrame([(values[:200].tobytes(),), (values[200:].tobytes(),), (None,)], "v binary")):
+        bitmap = common.merged_bitmap(rows, 1 << 20)
+        assert common.in_bitmap(values, bitmap).all() and np.unpackbits(bitmap).sum() <= 500
+
+
+def test_the_shared_folder_is_never_a_machine_of_a_cluster():
+    class Fake:
+        def __init__(self, master, where):
+            self.sparkContext, self.conf, self.where = type("Context", (), {"master": master})(), self, where
+
+        def get(self, name, default):
+            return self.where or default
+
+        def set(self, name, value):
+            self.where = value
+
+    assert common.shared_dir(Fake("spark://host:7077", "hdfs:///x/")) == "hdfs:///x"
+    assert common.shared_dir(Fake("local[4]", None)).startswith("file:")
+    for master in ("spark://host:7077", "local-cluster[3,2,1000]", "yarn"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Fake(master, None))
+
+
+def test_polynomial_hashes_of_structured_strings():
+    bits = np.array([bin(k).count("1") & 1 for k in range(4096)], np.uint8)
+    for seed in range(4):
+        for n in (256, 1024, 4096):
+            h = common.PolyHash(np.r_[bits[:n], 1 - bits[:n], bits[:n]], seed)
+            assert h.span(0, n) != h.span(n, n) and h.span(0, n) == h.span(2 * n, n)
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    lengths, labels = [4, 1, 3], 3
+    emission, transition = rng.normal(size=(8, labels)), rng.normal(size=(labels, labels))
+    got, pairs, partition = Chains(lengths).marginals(emission, transition, pairs=True)
+    want, expected, logs, at = np.zeros((8, labels)), np.zeros((labels, labels)), 0.0, 0
+    for n in lengths:
+        paths = list(itertools.product(range(labels), repeat=n))
+        weight = np.exp([sum(emission[at + k, y] for k, y in enumerate(p)) + sum(transition[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        logs += np.log(weight.sum())
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            for k, y in enumerate(p):
+                want[at + k, y] += w
+            for a, b in itertools.pairwise(p):
+                expected[a, b] += w
+        at += n
+    assert np.allclose(got, want) and np.allclose(pairs, expected) and np.isclose(partition, logs)
+
+
+def test_decoding_is_the_best_of_all_subsets():
+    import itertools
+
+    rng = random.Random(5)
+    for _ in range(40):
+        page = html_extract.Page("".join(rng.choice(["<div>", "<p>", "</div>", "<ul>", "</ul>"]) for _ in range(9)))
+        n = len(page.tag)
+        odds = np.array([rng.uniform(-1, 1) for _ in range(n)])
+        best = max(sum(odds[k] for k in kept) for size in range(n) for some in itertools.combinations(range(1, n), size) for kept in [(0, *some)] if all(page.parent[k] in kept for k in some))
+        assert np.isclose(odds[html_extract.decode(page, odds)].sum(), best)
+
+
+def test_boosted_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 5))
+    y = ((x[:, 0] > 0) != (x[:, 1] > 0.3)).astype(float)
+    model = boosting.BoostedTrees().fit(x[:1500], y[:1500])
+    odds = model.log_odds(x[1500:])
+    assert ((odds > 0) == y[1500:]).mean() > 0.95
+    binned = [[int(np.searchsorted(e, v, "right")) for e, v in zip(model.edges, row, strict=True)] for row in x[1500:1510]]
+    for row, told in zip(binned, odds, strict=False):
+        total = model.base
+        for feature, split, leaf in zip(model.feature, model.split, model.leaf, strict=True):
+            node = 0
+            for _ in range(model.depth):
+                node = 2 * node + 1 + (row[feature[node]] > split[node])
+            total += leaf[node - (2**model.depth - 1)]
+        assert np.isclose(total, told)
+
+
+@pytest.mark.parametrize("text", ["qwertyuiopasdfghjklzxcvbnm" * 7700, "天地玄黄宇宙洪荒日月盈昃" * 5000, "a" * 200_000, "\n" * 50_000 + "x", "é " * 40_000])
+def test_counts_of_very_long_pieces(text):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, counter = Tokenizer.from_file(path), bpe.Counter(path)
+    size = lambda p: len(library.encode(text[:p], add_special_tokens=False).ids)
+    prefixes = counter.prefixes(text)
+    assert prefixes.total == size(len(text))
+    rng = random.Random(6)
+    for p in [0, 1, 5, *(rng.randrange(2000) for _ in range(12)), len(text) - 1]:
+        assert prefixes.count(p) == size(p)
+    fit = prefixes.fit(1024)
+    assert size(fit) <= 1024 and all(size(fit + k) > 1024 for k in (1, 2, 3))
+
+
+def test_letters_and_marks():
+    assert lang_crf.line_words("½ ² ⅷ 12 _\n") == [] and lang_crf.line_words("हिन्दी भाषा x2") == [["हिन्दी", "भाषा", "x"]]
+
+
+LAYOUTS = {
+    "blog": (
+        "<html><body><header class='masthead'><h1>My site</h1><p>All about things</p></header><nav><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav>"
+        "<main><div class='post'><h1>How the bridge was built</h1><p>In the spring of that year, the builders came to the river, and they stayed until the winter.</p>"
+        "<p>The old road, which had been closed for long, was opened again; people walked over it on <a href=x>market days</a>, talking loudly.</p><blockquote><p>Nobody believed it could stand, he said.</p></blockquote></div></main>"
+        "<aside class='sidebar'><h3>Related</h3><ul><li><a href=1>Ten best bridges</a></li><li><a href=2>Road works</a></li></ul></aside>"
+        "<section class='comments'><h2>Comments</h2><div class='comment'><p>Great text, thank you so much for it.</p></div><div class='comment'><p>I was there myself in those days, it was cold.</p></div></section>"
+        "<footer>&copy; 2020 My site, all rights reserved</footer></body></html>",
+        "How the bridge was built\nIn the spring of that year, the builders came to the river, and they stayed until the winter.\nThe old road, which had been closed for long, was opened again; people walked over it on market days, talking loudly.\nNobody believed it could stand, he said.",
+    ),
+    "divs": (
+        "<body><div id=cookie-notice class='notice'><p>We use cookies to make the site better.</p></div><div class='menu'><ul><li><a href=a>Start</a></li><li><a href=b>News</a></li></ul></div>"
+        "<div id='content'><h2>A day in the hills</h2><p>We left early, before the sun was up, and took the path along the stream.</p><div class='ad'>Buy boots now, half price</div><p>At noon the fog came in, so we turned back, slowly and carefully.</p></div>"
+        "<div class='sidebar widget'><h3>Popular</h3><p>What others read, today and every day, on these pages.</p></div><div class='footer'><p>&copy; Hill club</p></div></body>",
+        "A day in the hills\nWe left early, before the sun was up, and took the path along the stream.\nAt noon the fog came in, so we turned back, slowly and carefully.",
+    ),
+    "formula": (
+        "<body><nav><a href=/>Home</a> <a href=/c>Contents</a></nav><article><h1>Lines</h1><p>Let <math><mi>x</mi></math> be a point on the line, and <object>the figure</object> show it, as it was drawn by hand.</p><xmp><b>a &amp; b</b></xmp>"
+        "<p>Then, by the rule above, every other point is found in the same way, step by step.</p></article><form class='search'><input name=q><button>Find</button></form></body>",
+        "Lines\nLet x be a point on the line, and the figure show it, as it was drawn by hand.\n<b>a &amp; b</b>\nThen, by the rule above, every other point is found in the same way, step by step.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_layouts_written_by_hand(name):
+    source, want = LAYOUTS[name]
+    assert html_extract.extract([source], html_extract.trained()) == [want]
+
+
+@pytest.mark.parametrize("source", ["<div>" * 40_000, "<a x='b " * 40_000, "<b " * 40_000, "</x" * 40_000, "<select>" * 20_000, "<a x='b \" > " * 20_000, "<b>" * 40_000 + "<li>" * 20_000, "<b>" * 30_000 + "</i>" * 30_000, "<!" * 40_000, "<p><i>" * 20_000])
+def test_hostile_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    html_extract.Page(source)
+    assert time.process_time() - began < 4
+
+
+def test_benchmark_blocks_leave_nothing_behind(monkeypatch, spark, docs):
+    made, gone = [], []
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
+    monkeypatch.setattr(decontaminate, "stash", lambda df, name: made.append(common.stash(df, name)) or made[-1])
+    monkeypatch.setattr(decontaminate, "unstash", lambda *frames: gone.extend(frames) or common.unstash(*frames))
+    items = spark.createDataFrame([(k, f"word{k} a b") for k in range(4)], "item_id long, text string")
+    assert decontaminate.contamination(docs, items).count() == docs.count()
+    assert len(made) == 4 and all(any(m is g for g in gone) for m in made[:-1])
