@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import bpe, decontaminate, jaccard_join, quality_rules, queries, suffix_dedup
-from pagewright.llm.common import stash, table
+from pagewright.llm.common import scope, stash, table, unstash
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_rules", apply_quality_rules),
-    ("jaccard_join", drop_near_copies),
-    ("suffix_dedup", remove_repeated_strings),
-    ("decontaminate", decontaminate_benchmark),
-    ("bpe_encode", encode),
+    ("quality_rules", queries.job(apply_quality_rules)),
+    ("jaccard_join", queries.job(drop_near_copies)),
+    ("suffix_dedup", queries.job(remove_repeated_strings)),
+    ("decontaminate", queries.job(decontaminate_benchmark)),
+    ("bpe_encode", queries.job(encode)),
 ]
 
 #: The stages are not expressible in SQL (shrunk host rates, near copies, byte strings, merges); tests compare with brute force.
@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded documents. Once a stage is stored, what it was made from and its own intermediate tables are dropped."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept: list[DataFrame] = []
+        with scope(kept):
+            kept.append(stash(stage(spark, docs, sf_dir), f"stage-{name}"))
+        unstash(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
