@@ -59,6 +59,8 @@ CLASSES = (1, 16, 256)
 CHUNK, BUCKET = 1 << 18, 1 << 19
 #: Tokens of a block of members, about, each member counting as ``LEAST`` at least; and from which on a token is counted densely.
 BLOCK, LEAST, DENSE = 1 << 18, 256, 24
+#: Keys over which a neighbourhood is dealt where its members meet a row about it.
+SALTS = 8
 _K = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 #: Sizes at which the levels begin.
 _LEVELS = [1]
@@ -313,12 +315,19 @@ def _star_pairs(near: DataFrame) -> DataFrame:
     return near.filter("centre <> id").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
 
 
+def _with_centre(rows: DataFrame, id_: str, centres: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows with what ``centres`` (a row per centre) says; a large neighbourhood is dealt over ``SALTS`` keys by its members' ids."""
+    salt = F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int").alias("salt")
+    spread = centres.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.select("*", salt).join(spread, ["centre", "salt"], how).drop("salt")
+
+
 def _rooted(near: DataFrame, roots: DataFrame) -> DataFrame:
     """The members, with their ``root``, of the neighbourhoods that hold several components and could link all the same."""
     rooted = near.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     able = rooted.filter(OF * (F.col("n") - F.col("own")) >= SHARE * F.col("n"))
     split = able.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("centre")
-    return able.join(split, "centre", "left_semi")
+    return _with_centre(able, "id", split, "left_semi")
 
 
 def _may_link(a: str, b: str):
@@ -333,7 +342,7 @@ def _centre_pairs(apart: DataFrame) -> DataFrame:
     best = apart.groupBy("centre").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "root", "n", "own")).alias("x"))
     first = rows.filter(F.col("y")["id"] == F.col("centre")).select("centre", F.col("y").alias("x"))
     centres = best.select("centre", F.struct(*(F.col("x")[c].alias(c) for c in ("id", "root", "n", "own"))).alias("x")).unionByName(first)
-    pairs = rows.join(centres, "centre").filter((F.col("x")["root"] != F.col("y")["root"]) & _may_link("x", "y"))
+    pairs = _with_centre(rows, "y.id", centres).filter((F.col("x")["root"] != F.col("y")["root"]) & _may_link("x", "y"))
     ids = F.col("x")["id"], F.col("y")["id"]
     return pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
 
@@ -415,7 +424,7 @@ def _block_links(apart: DataFrame, sets: DataFrame) -> DataFrame:
     largest = parts.groupBy("centre").agg(F.max(F.struct("m", "root", "t")).alias("top"), F.sum("t").alias("t"))
     blocks = lambda t: F.ceil(t / BLOCK).cast("int")
     plan = largest.select("centre", F.col("top")["root"].alias("top"), blocks(F.col("top")["t"]).alias("ins"), blocks(F.col("t") - F.col("top")["t"]).alias("outs"))
-    rows = apart.select("centre", "id", "root").join(plan, "centre").withColumn("outside", F.col("root") != F.col("top"))
+    rows = _with_centre(apart.select("centre", "id", "root"), "id", plan).withColumn("outside", F.col("root") != F.col("top"))
     own = F.when(F.col("outside"), F.col("ins") + F.pmod(F.xxhash64("id"), "outs")).otherwise(F.pmod(F.xxhash64("id"), "ins")).cast("int")
     met = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("ins") + F.col("outs") - 1)).otherwise(F.sequence("ins", F.col("ins") + F.col("outs") - 1))
     dealt = rows.withColumn("block", own).withColumn("other", F.explode(met)).filter((F.col("block") != F.col("other")))
