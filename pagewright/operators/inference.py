@@ -31,18 +31,51 @@ _IMAGE_NAMES = {"paddle": "image", "detr": "pixel_values", "yolo": "images"}
 _INPUT_SIZES = {"v3": 800, "heron": 640}
 
 
-def model_file(name: str, cache: str | None = None, sha256: str | None = None) -> str:
+@dataclass(frozen=True)
+class FileProgress:
+    """How far a model file has been read; ``total`` is null while it is not known."""
+
+    name: str
+    done: int
+    total: int | None = None
+    resumed_from: int = 0
+    attempt: int = 1
+
+    @property
+    def percent(self) -> float | None:
+        return min(100.0, 100.0 * self.done / self.total) if self.total else None
+
+    @property
+    def is_resumed(self) -> bool:
+        return self.resumed_from > 0
+
+    @property
+    def is_complete(self) -> bool:
+        return bool(self.total) and self.done >= self.total
+
+
+def _digest(path: Path, progress: Callable[[FileProgress], None] | None) -> str:
+    total, done, found = path.stat().st_size, 0, hashlib.sha256()
+    with path.open("rb") as f:
+        while part := f.read(1 << 22):
+            found.update(part)
+            done += len(part)
+            if progress:
+                progress(FileProgress(path.name, done, total))
+    return found.hexdigest()
+
+
+def model_file(name: str, cache: str | None = None, sha256: str | None = None, progress: Callable[[FileProgress], None] | None = None) -> str:
     """The path of a model file: as given if it names a file, else in the cache folder (option, environment, user's cache).
 
-    With a checksum the file is read once and must have it. Nothing is downloaded.
+    With a checksum the file is read once, telling ``progress`` about it, and must have it. Nothing is downloaded.
     """
     folder = cache or os.environ.get(CACHE_VARIABLE) or str(Path.home() / ".cache" / "pagewright")
     path = next((p for p in (Path(name), Path(folder) / name) if p.is_file()), None)
     if path is None:
         raise ModelFileError(f"model file {name!r} is neither a path nor in {folder}")
     if sha256 is not None:
-        with path.open("rb") as f:
-            found = hashlib.file_digest(f, "sha256").hexdigest()
+        found = _digest(path, progress)
         if found != sha256.lower():
             raise ModelFileError(f"model file {path} has SHA-256 {found}, not {sha256.lower()}")
     return str(path)

@@ -250,6 +250,10 @@ def test_model_files(models, monkeypatch):
     digest = hashlib.sha256(path.read_bytes()).hexdigest()
     assert inference.model_file(str(path), sha256=digest.upper()) == str(path)
     assert inference.model_file("yolo.onnx", cache=str(models)) == str(path)
+    told = []
+    inference.model_file(str(path), sha256=digest, progress=told.append)
+    assert told[-1].is_complete and told[-1].percent == 100 and not told[-1].is_resumed
+    assert inference.FileProgress("x", 5).percent is None and inference.FileProgress("x", 5, 20, 3).percent == 25 and inference.FileProgress("x", 5, 20, 3).is_resumed
     monkeypatch.setenv(inference.CACHE_VARIABLE, str(models))
     assert inference.model_file("yolo.onnx") == str(path)
     with pytest.raises(ModelFileError, match="SHA-256"):
