@@ -28,7 +28,7 @@ from .common import sliced, tidy
 
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces whose encoding a worker remembers; the memory is emptied when it is full.
+#: Distinct pieces whose encoding a worker remembers in each of two generations, unless told otherwise.
 REMEMBERED = 1 << 16
 #: Longer pieces are encoded again each time, so that memory stays bounded.
 LONGEST_REMEMBERED = 64
@@ -76,7 +76,8 @@ class Vocabulary:
         for b, i in ids.items():
             self.matches.add_word(b.decode("latin-1"), (len(b), i))
         self.matches.make_automaton()
-        self._compatible: dict[int, bool] = {}
+        self._compatible: dict[int, dict[int, bool]] = {}
+        self._known = 0
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -114,27 +115,35 @@ class Vocabulary:
     def prefixes(self, piece: bytes) -> list[int]:
         """The last token of the encoding of every prefix of ``piece`` (-1 for the empty one)."""
         last = [-1]
-        known = self._compatible
-        done = 0
+        push, known, done = last.append, self._compatible, 0
         for end, (length, token) in self.matches.iter(piece.decode("latin-1")):
             if end < done:
                 continue
             start = end + 1 - length
             if start:
-                pair = last[start] << 20 | token
-                fits = known.get(pair)
+                left = last[start]
+                row = known.get(left)
+                if row is None:
+                    row = known[left] = {}
+                fits = row.get(token)
                 if fits is None:
-                    if len(known) >= 2 * REMEMBERED:
-                        known.clear()
-                    fits = known[pair] = self.compatible(last[start], token)
+                    fits = row[token] = self.compatible(left, token)
+                    self._known += 1
                 if not fits:
                     continue
-            last.append(token)
+            push(token)
             done = end + 1
         if done != len(piece):
             raise ValueError("the vocabulary has no token for some byte")
+        if self._known >= 4 * REMEMBERED:
+            self.forget()
         return last
 
+    def forget(self) -> None:
+        """Empties what is remembered of pairs."""
+        self._compatible.clear()
+        self._known = 0
+
     def prefix_counts(self, piece: bytes) -> list[int]:
         """The token count of every prefix of ``piece``, exact: one more than that of what stands before its last token."""
         count = [0]
@@ -153,36 +162,40 @@ class Vocabulary:
         out.reverse()
         return out
 
-    def pieces(self, text: str) -> Iterator[str | int]:
+    def pieces(self, text: str) -> list[str | int]:
         """The pieces that are encoded on their own; ids for special strings."""
         if self.special_split is None or not any(s in text for s in self.special):
-            yield from self.split.findall(text)
-            return
-        for part in self.special_split.split(text):
-            if part in self.special:
-                yield self.special[part]
-            else:
-                yield from self.split.findall(part)
+            return self.split.findall(text)
+        parts = self.special_split.split(text)
+        return [x for part in parts for x in ([self.special[part]] if part in self.special else self.split.findall(part))]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Remembering(dict):
-    """Calls ``make`` on a miss; emptied when full. Long keys are not kept."""
+    """Calls ``make`` on a miss. When full, it becomes the older generation, of which only what is asked for again stays. Long keys are not kept."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.older, self.size = make, {}, REMEMBERED
 
     def __missing__(self, key):
-        value = self.make(key)
-        if isinstance(key, int) or len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if not isinstance(key, int) and len(key) > LONGEST_REMEMBERED:
+                return value
+        if len(self) >= self.size:
+            self.older = dict(self)
+            super().clear()
+        self[key] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
 
 class Encoder:
     """Encodes texts as the tokenizers library does without added begin or end tokens."""
@@ -202,7 +215,7 @@ class Encoder:
     def forget(self) -> None:
         """Empties what is remembered: a worker that is used again by another operator must not hold it."""
         self.ids.clear()
-        self.vocabulary._compatible.clear()
+        self.vocabulary.forget()
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.ids.__getitem__, self.vocabulary.pieces(text))))
@@ -224,7 +237,7 @@ class PrefixCounts:
     def __init__(self, counter: Counter, text: str) -> None:
         self.counter, self.text = counter, text
         v = counter.vocabulary
-        pieces = list(v.pieces(text))
+        pieces = v.pieces(text)
         names = {i: s for s, i in v.special.items()}
         self.pieces = [names[p] if isinstance(p, int) else p for p in pieces]
         self.fixed = [isinstance(p, int) for p in pieces]
@@ -291,7 +304,7 @@ class Counter:
 
     def forget(self) -> None:
         self.counts.clear()
-        self.vocabulary._compatible.clear()
+        self.vocabulary.forget()
 
     def count(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.vocabulary.pieces(text)))
@@ -300,14 +313,15 @@ class Counter:
         return PrefixCounts(self, text)
 
 
-def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns ``id_col``, ``ids`` (array of int, absent unless ``keep_ids``), ``n_tokens``, ``ids_sha256``,
     ``decoded_sha256`` and ``round_trip`` (decoding gives the text back). One row per input row: a null
     text counts as empty, repeated rows are encoded each, other columns are ignored, an empty table gives
     no rows. Texts of any length are encoded whole; special strings inside a text become their ids.
-    ``path`` must exist on every executor.
+    ``path`` must exist on every executor. A worker remembers twice ``remembered`` pieces at most (some 250 bytes
+    each), up to the end of its partition.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + "ids array<int>, " * keep_ids + "n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
@@ -315,6 +329,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
+        encoder.ids.size = remembered
         decimal = Remembering(str)
         for batch in sliced(batches, 1 << 18):
             out: dict[str, list] = {n: [] for n in names[1:]}
@@ -335,19 +350,20 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
-def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Exact token counts of every whole text, and the longest prefix that fits ``limit``.
 
     Returns ``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``limit`` tokens) and
     ``fit_chars`` (code points of the longest prefix of at most ``limit`` tokens, encoded on its own). One
     row per input row: a null text counts as empty, repeated rows are counted each, other columns are
-    ignored, an empty table gives no rows.
+    ignored, an empty table gives no rows. ``remembered`` as in ``encode_documents``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.load(path)
+        counter.counts.size = remembered
         for batch in sliced(batches):
             size, tokens, fits = [], [], []
             for text in batch.column(1):

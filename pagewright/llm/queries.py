@@ -33,6 +33,10 @@ def job(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+#: Pieces that a worker remembers in a job that does nothing but encode; the pipeline's stage takes the smaller default.
+PIECES = 1 << 18
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -44,7 +48,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+    return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024, remembered=PIECES)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False, remembered=PIECES)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
