@@ -223,7 +223,7 @@ def orientation_decode(spark, sf_dir):
     given = F.when((F.col("vec_id") + F.col("k")) % 3 == 0, F.transform(size, lambda x: (x / total).cast("float"))).otherwise(F.col("v"))
     rows = four.select("vec_id", "k", decode.decode_orientation(given).alias("p"))
     gate = (F.col("p.rotation") != 0) & (F.col("p.confidence") >= F.lit(0.6).cast("float"))
-    return rows.select("vec_id", "k", "p.rotation", *(F.round(F.col(f"p.{c}").cast("double"), 3).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
+    return rows.select("vec_id", "k", "p.rotation", *(F.round(F.col(f"p.{c}").cast("double"), 2).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
 
 
 def _corrected(spark, sf_dir) -> DataFrame:

@@ -221,7 +221,7 @@ ORACLE_SQL: dict[str, str] = {
     "decode_yolo": _decoded("({} - pad_x) / scale", "({} - pad_y) / scale", "-1", 0.625, f", {_SCALE} AS scale, {_PAD['width']} AS pad_x, {_PAD['height']} AS pad_y"),
     "decode_detr": "WITH q AS (SELECT vec_id, CAST(unnest([0, 1, 2]) AS INT) AS det_pos, embedding FROM embeddings), l AS (SELECT vec_id, det_pos, embedding[det_pos * 17 + 1:det_pos * 17 + 17] AS lg, list_transform(embedding[52 + det_pos * 4:55 + det_pos * 4], lambda x: abs(x)) AS b FROM q), s AS (SELECT vec_id, det_pos, CAST(list_position(lg, list_max(lg)) - 1 AS INT) AS class_id, CAST(list_max(lg) AS DOUBLE) AS best, b FROM l WHERE list_max(lg) >= CAST(ln(CAST(0.55 AS DOUBLE) / (1 - CAST(0.55 AS DOUBLE))) AS FLOAT)), c AS (SELECT vec_id, det_pos, class_id, 1 / (1 + exp(-best)) AS score, greatest(0.0::DOUBLE, least(762.0::DOUBLE, CAST((b[1] - b[3] / 2) * 762 AS DOUBLE))) AS x1, greatest(0.0::DOUBLE, least(1000.0::DOUBLE, CAST((b[2] - b[4] / 2) * 1000 AS DOUBLE))) AS y1, greatest(0.0::DOUBLE, least(762.0::DOUBLE, CAST((b[1] + b[3] / 2) * 762 AS DOUBLE))) AS x2, greatest(0.0::DOUBLE, least(1000.0::DOUBLE, CAST((b[2] + b[4] / 2) * 1000 AS DOUBLE))) AS y2 FROM s) SELECT vec_id, det_pos, class_id, round(score, 4) AS score, round(x1, 2) AS x1, round(y1, 2) AS y1, round(x2, 2) AS x2, round(y2, 2) AS y2 FROM c WHERE x2 - x1 >= 1 AND y2 - y1 >= 1",
     "letterbox": f"SELECT page_id, round({_SCALE}, 9) AS scale, {_CONTENT['width']} AS content_width, {_CONTENT['height']} AS content_height, {_PAD['width']} AS pad_x, {_PAD['height']} AS pad_y, {_PLACE['width']} AS \"left\", {_PLACE['height']} AS top FROM ({derived.PAGES})",
-    "orientation_decode": f"{_ORIENT} SELECT vec_id, k, rotation, round(confidence, 3) AS confidence, round(p[1], 3) AS p0, round(p[2], 3) AS p90, round(p[3], 3) AS p180, round(p[4], 3) AS p270, rotation <> 0 AND confidence >= CAST(0.6 AS FLOAT) AS applied FROM best",
+    "orientation_decode": f"{_ORIENT} SELECT vec_id, k, rotation, round(confidence, 2) AS confidence, round(p[1], 2) AS p0, round(p[2], 2) AS p90, round(p[3], 2) AS p180, round(p[4], 2) AS p270, rotation <> 0 AND confidence >= CAST(0.6 AS FLOAT) AS applied FROM best",
     "map_to_source_points": f"{_CORRECTED} SELECT page_id, round({_source('10.0::DOUBLE', '20.0::DOUBLE')[0]}, 6) AS x, round({_source('10.0::DOUBLE', '20.0::DOUBLE')[1]}, 6) AS y, CASE WHEN rotation IN (90, 270) THEN height ELSE width END AS upright_w, CASE WHEN rotation IN (90, 270) THEN width ELSE height END AS upright_h, rotation <> 0 OR skew <> 0 AS is_corrected FROM upright",
     "map_to_source_boxes": f"{_CORRECTED}, det_base AS ({derived.DET_BASE}), dets AS ({derived.DETS}) SELECT page_id, {_KEY}, round(least({', '.join(c[0] for c in _CORNERS)}), 5) AS sx1, round(least({', '.join(c[1] for c in _CORNERS)}), 5) AS sy1, round(greatest({', '.join(c[0] for c in _CORNERS)}), 5) AS sx2, round(greatest({', '.join(c[1] for c in _CORNERS)}), 5) AS sy2 FROM dets JOIN upright USING (page_id)",
     "luma_histogram": f"{_GRAY} SELECT event_type, luma, count(*) AS n FROM gray GROUP BY event_type, luma",
