@@ -29,7 +29,7 @@ from .common import sliced, tidy
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose encoding a worker remembers in each of two generations, unless told otherwise.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 15
 #: Longer pieces are encoded again each time, so that memory stays bounded.
 LONGEST_REMEMBERED = 64
 NEVER = 1 << 60
@@ -135,7 +135,7 @@ class Vocabulary:
             done = end + 1
         if done != len(piece):
             raise ValueError("the vocabulary has no token for some byte")
-        if self._known >= 4 * REMEMBERED:
+        if self._known >= 8 * REMEMBERED:
             self.forget()
         return last
 
