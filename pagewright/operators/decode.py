@@ -89,21 +89,19 @@ def decode_detr(frame: DataFrame, threshold: float, classes: int, *, logits: str
 
 
 def decode_orientation(values: Column) -> Column:
-    """struct(rotation, confidence, p0, p90, p180, p270) from four probabilities or logits.
+    """struct(rotation, confidence, p0, p90, p180, p270) from four probabilities or logits, in 64-bit floats.
 
     Values that lie from 0 to 1 and sum to 1 within 0.01 are probabilities; others go through softmax.
     """
-    f = lambda c: c.cast("float")
-    v = [f(F.get(values, F.lit(k))) for k in range(4)]
-    total = f(f(f(v[0] + v[1]) + v[2]) + v[3])
-    probabilities = F.abs(total - F.lit(1.0).cast("float")) <= F.lit(0.01).cast("float")
+    v = [F.get(values, F.lit(k)).cast("double") for k in range(4)]
+    total = v[0] + v[1] + v[2] + v[3]
+    probabilities = F.abs(total - d(1)) <= d(0.01)
     for x in v:
         probabilities = probabilities & (x >= 0) & (x <= 1) & ~F.isnan(x)
     most = F.greatest(*v)
-    e = [f(F.exp(x - most)) for x in v]
-    denominator = f(f(f(e[0] + e[1]) + e[2]) + e[3])
-    p = [F.when(probabilities, x).otherwise(f(y / denominator)) for x, y in zip(v, e, strict=True)]
-    p = F.array(*p)
+    e = [F.exp(x - most) for x in v]
+    denominator = e[0] + e[1] + e[2] + e[3]
+    p = F.array(*(F.when(probabilities, x).otherwise(y / denominator) for x, y in zip(v, e, strict=True)))
     best = F.array_position(p, F.array_max(p)).cast("int") - 1
     short = F.raise_error(F.lit("an orientation model must give 4 values")).cast("int")
     rotation = F.when(F.size(values) < 4, short).otherwise(best * 90)

@@ -215,15 +215,21 @@ def letterbox(spark, sf_dir):
 
 @query
 def orientation_decode(spark, sf_dir):
-    """Every four values of every vector as an answer of the classifier; every third answer scaled to probabilities."""
+    """Every four values of every vector as an answer of the classifier; every third answer scaled to probabilities.
+
+    Hundredths are rounded as products, as in DuckDB: 0.285 * 100 is less than 28.5.
+    """
     view(spark, sf_dir, "embeddings")
-    four = spark.table("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), (F.size("embedding") / 4).cast("int") - 1)).alias("k"), "embedding").withColumn("v", F.slice("embedding", F.col("k") * 4 + 1, F.lit(4)))
-    size = F.transform("v", lambda x: F.abs(x.cast("double")))
+    last = F.floor(F.size("embedding") / 4).cast("int") - 1
+    at = F.when(last >= 0, F.sequence(F.lit(0), last))
+    four = spark.table("embeddings").select("vec_id", F.explode(at).alias("k"), "embedding").withColumn("v", F.transform(F.slice("embedding", F.col("k") * 4 + 1, F.lit(4)), lambda x: x.cast("double")))
+    size = F.transform("v", F.abs)
     total = F.aggregate(size, G.d(0), lambda acc, x: acc + x)
-    given = F.when((F.col("vec_id") + F.col("k")) % 3 == 0, F.transform(size, lambda x: (x / total).cast("float"))).otherwise(F.col("v"))
+    scaled = F.transform(size, lambda x: F.when(total == 0, F.lit(float("nan"))).otherwise(x / total))
+    given = F.when((F.col("vec_id") + F.col("k")) % 3 == 0, scaled).otherwise(F.col("v"))
     rows = four.select("vec_id", "k", decode.decode_orientation(given).alias("p"))
     gate = (F.col("p.rotation") != 0) & (F.col("p.confidence") >= F.lit(0.6).cast("float"))
-    return rows.select("vec_id", "k", "p.rotation", *(F.round(F.col(f"p.{c}").cast("double"), 2).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
+    return rows.select("vec_id", "k", "p.rotation", *((F.round(F.col(f"p.{c}") * 100) / 100).alias(c) for c in ("confidence", "p0", "p90", "p180", "p270")), gate.alias("applied"))
 
 
 def _corrected(spark, sf_dir) -> DataFrame:
